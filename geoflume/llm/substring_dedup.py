@@ -5,8 +5,8 @@ hash among its ``m``-word pieces. Consecutive windows with one minimiser form a
 super-k-mer. Equal windows have equal minimisers, so
 
 1. a scan lists the super-k-mers (minimiser, place, length) without their words,
-   and those whose minimiser occurs once in the corpus are settled: they repeat
-   nothing;
+   and those whose minimiser occurs at one place in the corpus are settled: they
+   repeat nothing;
 2. the others travel as one packed string each to the bucket of their minimiser,
    where windows are sorted by hash and equal neighbours compared word by word;
 3. the repeated spans come back to their documents by key.
@@ -65,7 +65,8 @@ def _cuts(k: int, m: int):
                 starts, ends, doc = word_spans(data, off)
                 if len(starts) < k:
                     continue
-                least = _least(rolling(slice_hash(data, starts, ends), m), k - m + 1)
+                pieces, width = rolling(slice_hash(data, starts, ends), m), k - m + 1
+                least = _least(pieces, width)
                 at = np.flatnonzero(doc[: len(least)] == doc[k - 1 :])
                 if not len(at):
                     continue
@@ -73,6 +74,10 @@ def _cuts(k: int, m: int):
                 same = np.zeros(len(at), bool)
                 same[1:] = (mini[1:] == mini[:-1]) & (own[1:] == own[:-1])
                 first, n = _runs(same)
+                here = np.zeros(len(least), np.int16)  # places of each window's minimiser inside it
+                for j in range(width):
+                    here += pieces[j : j + len(least)] == least
+                places = np.where((n > width) | (np.maximum.reduceat(here[at], first) > 1), 2, 1)
                 word0 = np.searchsorted(doc, own[first])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -81,8 +86,9 @@ def _cuts(k: int, m: int):
                         pa.array(mini[first].view(np.int64)),
                         pa.array((at[first] - word0).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
+                        pa.array(places.astype(np.int32)),
                     ],
-                    names=["id", "tag", "mini", "start", "n"],
+                    names=["id", "tag", "mini", "start", "n", "places"],
                 )
 
     return cuts
@@ -237,8 +243,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """id, tag, lo, hi: spans of words that lie in windows with an earlier equal window (docs as from keyed())."""
-    cuts = docs.mapInArrow(_cuts(k, m), "id long, tag long, mini long, start int, n int")
-    often = cuts.groupBy("mini").agg(F.count("*").alias("often")).filter("often > 1")
+    cuts = docs.mapInArrow(_cuts(k, m), "id long, tag long, mini long, start int, n int, places int")
+    often = cuts.groupBy("mini").agg(F.sum("places").alias("often")).filter("often > 1")
     shared = cuts.join(often, "mini").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("often") > hot).alias("hot"))).alias("cuts"))
     packed = docs.join(shared, ["id", "tag"]).select("id", "tag", "text", "cuts").mapInArrow(_pack(k), "key long, id long, tag long, start int, n int, packed binary")
     return packed.repartition("key").sortWithinPartitions("key").mapInArrow(_count(k), "id long, tag long, lo int, hi int")
