@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from geoflume.llm import line_dedup, mixing, secret_scan, substring_dedup
+from geoflume.llm import decontaminate, html_text, jaccard_join, line_dedup, mixing, secret_scan, substring_dedup, toxicity, url_filter
 
-_MODULES = (substring_dedup, line_dedup, secret_scan, mixing)
+_MODULES = (substring_dedup, line_dedup, url_filter, jaccard_join, decontaminate, toxicity, html_text, secret_scan, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
