@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from geoflume.llm._common import chunks, slice_hash, table, word_spans
 from geoflume.llm.decontaminate import normal
 
-MAX_TRAIN, RARE, FOLDS, BITS, SELECTED, PREFIX = 8000, 3000, 4, 20, 4096, 5
+MAX_TRAIN, RARE, FOLDS, BITS, PREFIX = 8000, 3000, 4, 20, 4
+#: Features of each category at most, their least chi-square, and the models' ridge.
+SELECTED, LEAST_CHI, RIDGE = 200, 40.0, 0.3
 THRESHOLD = 0.5
 
 
@@ -58,27 +60,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on sparse 0/1 features and a few dense columns."""
-
-    def fit(self, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 150) -> Linear:
-        n, width = len(y), int(cols.max()) + 1 if len(cols) else 1
-        self.w, self.v = np.zeros(width), np.zeros(dense.shape[1])
-        share = (y.sum() + 0.5) / (n + 1)
-        self.b = float(np.log(share / (1 - share)))
-        self.flat = y.min() == y.max()
-        if self.flat:
+    """Logistic regression on sparse 0/1 features and a few dense columns, by Newton steps with a ridge."""
+
+    def fit(self, rows: np.ndarray, cols: np.ndarray, width: int, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> Linear:
+        n, share = len(y), (y.sum() + 0.5) / (len(y) + 1)
+        self.w, self.v, self.b = np.zeros(width), np.zeros(dense.shape[1]), float(np.log(share / (1 - share)))
+        if not n or y.min() == y.max():
             return self
-        gw, gv, gb = np.full(width, 1e-8), np.full(len(self.v), 1e-8), 1e-8
-        for _ in range(steps):  # AdaGrad over all rows
-            error = (_sigmoid(self.z(rows, cols, dense)) - y) / n
-            dw = np.bincount(cols, error[rows], minlength=width) + ridge / 10 * self.w
-            dv, db = dense.T @ error, error.sum()
-            gw += dw * dw
-            gv += dv * dv
-            gb += db * db
-            self.w -= 0.3 * dw / np.sqrt(gw)
-            self.v -= 0.3 * dv / np.sqrt(gv)
-            self.b -= 0.3 * db / np.sqrt(gb)
+        x = np.zeros((n, width + dense.shape[1] + 1))
+        x[rows, cols] = 1
+        x[:, width:-1], x[:, -1] = dense, 1
+        beta, weight = np.append(np.zeros(x.shape[1] - 1), self.b), np.full(x.shape[1], ridge)
+        weight[-1] = 1e-9
+        for _ in range(steps):
+            p = _sigmoid(x @ beta)
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(weight), x.T @ (p - y) + weight * beta)
+            beta -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-6:
+                break
+        self.w, self.v, self.b = beta[:width], beta[width:-1], float(beta[-1])
         return self
 
     def z(self, rows: np.ndarray, cols: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -104,11 +104,11 @@ def _choose(rows: np.ndarray, found: np.ndarray, labels: np.ndarray, n: int) ->
     best: set[int] = set()
     of_all = np.bincount(found, minlength=1 << BITS).astype(float)
     for y in labels.T:
-        of_ones = np.bincount(found[y[rows] == 1], minlength=1 << BITS)
-        expected = of_all * y.mean()
-        chi = np.where(of_all >= 2, (of_ones - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
+        share = y.mean() if len(y) else 0.0
+        expected = of_all * share
+        chi = (np.bincount(found[y[rows] == 1], minlength=1 << BITS) - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
         top = np.argsort(-chi, kind="stable")[:n]
-        best |= set(top[chi[top] > 3].tolist())
+        best |= set(top[chi[top] >= LEAST_CHI].tolist())
     index = np.full(1 << BITS, -1, np.int32)
     index[sorted(best)] = np.arange(len(best))
     return index
@@ -121,18 +121,16 @@ def fit_chain(rows: np.ndarray, found: np.ndarray, labels: np.ndarray, folds: in
     keep = index[found] >= 0
     rows, cols = rows[keep], index[found[keep]]
     fold = np.arange(n) % folds
-    models, before = [], np.zeros((n, 0))
+    models, before, width = [], np.zeros((n, 0)), int(index.max()) + 1
     for y in labels.T.astype(float):
-        models.append(Linear().fit(rows, cols, before, y))
-        models[-1].w = np.append(models[-1].w, np.zeros(max(0, (index.max() + 1) - len(models[-1].w))))
+        models.append(Linear().fit(rows, cols, width, before, y))
         out = np.zeros(n)
         for f in range(folds):
             test = fold == f
             if test.any() and not test.all():
                 place = np.cumsum(~test) - 1
                 use = ~test[rows]
-                part = Linear().fit(place[rows[use]], cols[use], before[~test], y[~test])
-                part.w = np.append(part.w, np.zeros(max(0, (index.max() + 1) - len(part.w))))
+                part = Linear().fit(place[rows[use]], cols[use], width, before[~test], y[~test])
                 out[test] = _sigmoid(part.z(rows, cols, before))[test]
         before = np.column_stack((before, out))
     return Chain(index, models)
