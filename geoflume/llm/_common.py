@@ -37,11 +37,17 @@ def id_back(col: Column) -> Column:
     return F.when(col != F.lit(NULL_ID), col)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder named by spark.checkpoint.dir; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a folder of its own only where that is unset."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="geoflume-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
