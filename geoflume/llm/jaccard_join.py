@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from geoflume.llm._common import NULL_ID, chunks, cut, id_back, keyed, mix, rolling, slice_hash, table, word_spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-BRANCH, DEPTH, SMALL, BLOCK = 1.5, 3, 256, 1024
+BRANCH, DEPTH, SMALL, BLOCK = 1.5, 3, 4096, 1024
 BINS = 128
 #: Standard errors that a sketch may be off.
 MARGIN = 5.0
