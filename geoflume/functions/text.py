@@ -34,7 +34,7 @@ def unquoted(line: Column) -> Column:
 def word_index(line: Column, word: Column | str, sep: str = ",") -> Column:
     """Position of a word in a line, from 0; -1 if it isn't there."""
     word = word if isinstance(word, Column) else F.lit(word)
-    return (F.array_position(F.transform(F.split(line, sep), F.trim), word) - 1).cast("int")
+    return (F.array_position(F.transform(F.split(line, sep), lambda p: F.trim(p)), word) - 1).cast("int")
 
 
 def described(*parts: Column) -> Column:

@@ -188,11 +188,11 @@ def densify_grid(spark, d):
 @query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS value, (l_partkey % 50)::DOUBLE + 0.25::DOUBLE AS x, (l_suppkey % 20)::DOUBLE + 0.5::DOUBLE AS y, 0.5::DOUBLE + (l_linenumber % 3)::DOUBLE * 0.5::DOUBLE AS s FROM lineitem),
 c AS (SELECT q.*, g.col, g.row, (greatest(0, least(x + s, g.col + 1) - greatest(x, g.col)) * greatest(0, least(y + s, g.row + 1) - greatest(y, g.row))) / (s * s) AS share
   FROM q, (SELECT (i % 60)::INTEGER AS col, (i // 60)::INTEGER AS row FROM range(1500) r(i)) g WHERE g.col < x + s AND g.col + 1 > x AND g.row < y + s AND g.row + 1 > y)
-SELECT row, col, round(sum(value * share) / sum(share), 6) AS value, round(sum(share), 6) AS weight, count(*) AS n FROM c WHERE share > 0 GROUP BY row, col""")
+SELECT row, col, round(sum(value * share) / sum(share), 3) AS value, round(sum(share), 3) AS weight, count(*) AS n FROM c WHERE share > 0 GROUP BY row, col""")
 def quadrilateral_regrid(spark, d):
     x, y, s = (F.col("l_partkey") % 50) + 0.25, (F.col("l_suppkey") % 20) + 0.5, (F.col("l_linenumber") % 3) * 0.5 + 0.5
     quads = table(spark, d, "lineitem").select(F.col("l_quantity").alias("value"), x.alias("x1"), y.alias("y1"), (x + s).alias("x2"), y.alias("y2"), (x + s).alias("x3"), (y + s).alias("y3"), x.alias("x4"), (y + s).alias("y4"))
-    return R.regrid_quads(quads, G.Grid(60, 25, 0.0, 0.0, 1.0, 1.0), []).select("row", "col", r6(F.col("value"), "value"), r6(F.col("weight"), "weight"), "n")
+    return R.regrid_quads(quads, G.Grid(60, 25, 0.0, 0.0, 1.0, 1.0), []).select("row", "col", F.round("value", 3).alias("value"), F.round("weight", 3).alias("weight"), "n")
 
 
 @query(f"""WITH {POINTS_SQL}, c AS (SELECT DISTINCT (station % 12)::INTEGER AS row, (station // 12)::INTEGER AS col, lon, lat FROM points)
