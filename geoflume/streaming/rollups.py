@@ -43,7 +43,7 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> St
 
 
 EVENT = "sensor long, ts timestamp, value double, outlier boolean, event boolean"
-_STATE = "history array<double>, recent array<boolean>"
+_STATE = "history array<double>, recent array<boolean>, last timestamp"
 
 
 def events(stream: DataFrame, history: int = 432, outlier: float = 3.0, recent: int = 6, event: float = 0.5, timeout: str = "2 days") -> DataFrame:
@@ -51,26 +51,26 @@ def events(stream: DataFrame, history: int = 432, outlier: float = 3.0, recent:
 
     An outlier is more than so many standard deviations from the mean of the last
     ``history`` readings that aren't; an event is a share of outliers of at least
-    ``event`` in the last ``recent``. Sensors that are silent for ``timeout`` start anew.
+    ``event`` in the last ``recent``. A sensor that was silent for ``timeout`` starts anew.
     """
-    wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    wait = pd.Timedelta(timeout)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old, flags = (list(x) for x in state.get) if state.exists else ([], [])
+        old, flags, last = state.get if state.exists else ([], [], None)
+        old, flags = list(old), list(flags)
         for f in frames:
             f = f.sort_values("ts")
             marks, calls = [], []
-            for v in f["value"]:
+            for ts, v in zip(f["ts"], f["value"]):
+                if last is not None and ts - pd.Timestamp(last) > wait:
+                    old, flags = [], []
+                last = ts
                 far = len(old) >= 12 and abs(v - np.mean(old)) > outlier * max(np.std(old), 1e-9)
                 flags = [*flags, bool(far)][-recent:]
                 old = old if far else [*old, float(v)][-history:]
                 marks.append(bool(far))
                 calls.append(len(flags) == recent and sum(flags) >= event * recent)
             yield pd.DataFrame({"sensor": key[0], "ts": f["ts"], "value": f["value"], "outlier": marks, "event": calls})
-        state.update((old, flags))
-        state.setTimeoutDuration(wait)
+        state.update((old, flags, last))
 
-    return stream.groupBy("sensor").applyInPandasWithState(step, EVENT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("sensor").applyInPandasWithState(step, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)
