@@ -26,7 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """id, tag, text without nulls. tag tells rows of one doc_id with different texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(id_of(F.col("doc_id")).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(id_of(F.col("doc_id")).alias("id"), tag_of(text).alias("tag"), text.alias("text"))
+
+
+def tag_of(text: Column) -> Column:
+    """32 bits of a hash of the text: rows are told apart by these only where they share a doc_id."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def id_of(col: Column) -> Column:

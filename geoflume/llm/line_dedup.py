@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import id_back, id_of, keyed, table
+from geoflume.llm._common import id_back, id_of, keyed, table, tag_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,7 +60,7 @@ def without_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min
     """The input's rows and columns, with the repeated lines gone from text. A null text stays null."""
     gone = dropped_lines(keyed(documents), min_chars, min_docs).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("at").alias("__at"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumn("__i", id_of(F.col("doc_id"))).withColumn("__t", F.xxhash64(text))
+    rows = documents.withColumn("__i", id_of(F.col("doc_id"))).withColumn("__t", tag_of(text))
     rows = rows.join(gone, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__tag")), "left")
     lines = _lines(F.col("text"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from geoflume.llm._common import SPACE, chunks, id_back, keyed, mix, rolling, slice_hash, table, word_spans
 
-K, M = 20, 3
+K, M = 20, 5
 #: Super-k-mers of one minimiser from which its windows travel one by one.
 HOT = 2000
 #: Bytes of packed strings that a bucket task sorts at a time, but for whole minimisers.
