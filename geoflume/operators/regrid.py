@@ -80,7 +80,7 @@ def quads_to_cells(quads: DataFrame, grid: Grid) -> DataFrame:
             whole = np.abs(_areas(x, y))
             left, low = (b[c].to_numpy(zero_copy_only=False)[:, None] * d + o for c, d, o in (("col", dx, west), ("row", dy, south)))
             for axis, bound, sign in ((0, left, 1), (0, left + dx, -1), (1, low, 1), (1, low + dy, -1)):
-                x, y = _clip(x, y, ((x, y)[axis] - bound) * sign)
+                x, y = _clip(x, y, axis, bound, sign)
             share = np.abs(np.nan_to_num(_areas(x, y))) / np.where(whole > 0, whole, np.inf)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.float64())], names=[*b.schema.names, "share"])
 
@@ -93,8 +93,9 @@ def _areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1) / 2
 
 
-def _clip(x: np.ndarray, y: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The part of each ring at a depth of 0 or more. A vertex that falls away becomes its predecessor, which leaves the area as it is."""
+def _clip(x: np.ndarray, y: np.ndarray, axis: int, bound: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each ring on the bound's side. A vertex that falls away becomes its predecessor, which leaves the area as it is."""
+    depth = ((x, y)[axis] - bound) * sign
     inside, ahead = depth >= 0, np.roll(depth, -1, 1)
     crosses = inside != (ahead >= 0)
     t = np.where(crosses, depth / np.where(crosses, depth - ahead, 1), 0)
@@ -104,8 +105,10 @@ def _clip(x: np.ndarray, y: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray,
     at = np.where(at < 0, keep.argmax(1)[:, None] if n else at, at)
     none = ~keep.any(1)
     both = []
-    for v in (x, y):
-        new = np.stack((v, v + t * (np.roll(v, -1, 1) - v)), 2).reshape(-1, n)
+    for k, v in enumerate((x, y)):
+        # a new vertex lies on the bound itself, without the error of t
+        cut = np.broadcast_to(bound, v.shape) if k == axis else v + t * (np.roll(v, -1, 1) - v)
+        new = np.stack((v, cut), 2).reshape(-1, n)
         new = np.take_along_axis(new, at, 1)
         new[none] = np.nan
         both.append(new)
