@@ -11,7 +11,7 @@ is taken. A core inside an article element stands for that whole element.
 
 Defined cases: a null html is empty and gives an empty text; a page without
 text gives an empty text; unclosed and stray tags are repaired as browsers do
-for paragraphs, list items, table cells and options; repeated rows are
+for paragraphs, list items, table cells and options, in left-out elements too; repeated rows are
 extracted each; null page_id and url stay null; other columns have no effect.
 """
 
@@ -51,14 +51,16 @@ NOISE = frozenset(
 INLINE = frozenset("abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {t: frozenset(("p",)) for t in BLOCKS} | {"li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
+#: What may stand in a head without ending it.
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 _WALL = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "out")
 
-    def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.kids = tag, up, []
+    def __init__(self, tag: str, up: Node | None, out: bool = False):
+        self.tag, self.up, self.kids, self.out = tag, up, [], out
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
@@ -80,12 +82,20 @@ def _noisy(tag: str, attrs: str, in_article: bool) -> bool:
 def tree(page: str) -> Node:
     """The page's elements and texts, without the left-out ones."""
     root = Node("html", None)
-    at, skipped, articles, last = root, [], 0, 0
+    at, articles, outs, last = root, 0, 0, 0
 
     def text(raw: str) -> None:
-        if raw and not skipped:
+        if raw:
             at.kids.append(html.unescape(raw))
 
+    def close(node: Node) -> None:
+        nonlocal at, articles, outs
+        end = node.up
+        while at is not end:
+            articles -= at.tag in ("article", "main")
+            outs -= at.out
+            at = at.up
+
     for m in _TOKEN.finditer(page):
         text(page[last : m.start()])
         last = m.end()
@@ -93,52 +103,63 @@ def tree(page: str) -> Node:
         if not tag:
             continue
         if m["end"]:
-            if skipped:
-                if tag in skipped:
-                    while skipped.pop() != tag:
-                        pass
-                continue
             node = at
             while node is not None and node.tag != tag and not (node.tag in _WALL and tag not in _WALL):
                 node = node.up
             if node is not None and node.tag == tag and node.up is not None:
-                while at is not node:
-                    articles -= at.tag in ("article", "main")
-                    at = at.up
-                articles -= at.tag in ("article", "main")
-                at = at.up
+                close(node)
             elif tag in BLOCKS:
                 at.kids.append(Node("hr", at))
             continue
         attrs = m["attrs"] or ""
-        if skipped:
-            if tag not in VOID and not attrs.endswith("/"):
-                skipped.append(tag)
-            continue
+        if at.tag == "head" and tag not in _IN_HEAD:
+            close(at)
         if closes := _CLOSES.get(tag):
-            node = at
+            node, last_closed = at, None
             while node is not None and node.tag not in _WALL - closes:
                 if node.tag in closes and node.up is not None:
-                    at = node.up
+                    last_closed = node
                 node = node.up
+            if last_closed is not None:
+                close(last_closed)
         if tag == "br":
             at.kids.append(" ")
         elif tag == "hr":
             at.kids.append(Node(tag, at))
         elif tag in VOID:
             pass
-        elif _noisy(tag, attrs, articles > 0):
-            if not attrs.endswith("/"):
-                skipped.append(tag)
-        elif tag not in ("html", "body") and tag not in INLINE:
-            node = Node(tag, at)
+        elif (out := _noisy(tag, attrs, articles > 0)) and attrs.endswith("/"):
+            pass
+        elif out or tag not in ("html", "body") and (tag not in INLINE or outs and not attrs.endswith("/")):
+            # formatting tags in a left-out element are kept until _prune, so that its end is found
+            node = Node(tag, at, out)
             at.kids.append(node)
             articles += tag in ("article", "main")
+            outs += out
             at = node
     text(page[last:])
+    _prune(root)
     return root
 
 
+def _prune(root: Node) -> None:
+    """Takes the left-out elements away."""
+    nodes = _order(root)
+    if not any(n.out for n in nodes):
+        return
+    for n in reversed(nodes):
+        kids = []
+        for k in n.kids:
+            if type(k) is Node and k.tag in INLINE and not k.out:
+                kids += k.kids
+                for x in k.kids:
+                    if type(x) is Node:
+                        x.up = n
+            elif type(k) is str or not k.out:
+                kids.append(k)
+        n.kids = kids
+
+
 def _order(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:

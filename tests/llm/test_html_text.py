@@ -54,3 +54,23 @@ def test_columns_and_nulls(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in H.html_text(df).collect()) == ["", "a", "a"]
     assert H.html_text(df.limit(0)).count() == 0
+
+
+LONG = "Plain words of an article that goes on for quite a while, as they do. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><p class="notice">Hi<p>{LONG}<p>{LONG}</body>',
+        f'<body><ul><li class="share">Hi<li>{LONG}</ul><p>{LONG}</body>',
+        f"<body><div><form>Hi</div><div><p>{LONG}</p><p>{LONG}</p></div></body>",
+        f"<body><div><nav>Hi</div><article><p>{LONG}</p><p>{LONG}</p></article></body>",
+        f'<body><section><div class="ad">Hi</section><article><p>{LONG}</p><p>{LONG}</p></article></body>',
+        f'<body><div><span class="ad">Hi <span>you</span> Hi</div><article><p>{LONG}</p><p>{LONG}</p></article></body>',
+        f"<html><head><meta charset=x><body><p>{LONG}<p>{LONG}</html>",
+    ],
+)
+def test_unclosed_left_out_elements_end_as_others_do(page):
+    got = H.main_text(page)
+    assert got.count(LONG.strip()) == 2 and "Hi" not in got
