@@ -7,7 +7,13 @@ text density: characters per tag (formatting tags aside), reduced by the share o
 link tags as against the body's. The element whose children's densities sum to
 the most is the core of the article; the least density on its path to the body
 is the threshold; under every element that reaches it the maximum-sum subtree
-is taken. A core inside an article element stands for that whole element.
+is taken. A core inside an article element stands for that whole element, and
+with it are taken the page's other article elements that reach the threshold.
+
+A class, id or role names what is left out by a word of ``NOISE``, alone or joined
+to others of them or of ``PLAIN``. An element stays, whatever it is, if it holds main,
+or all of the page's articles, or over half of the page's text (unless this
+stands beside an article or main with text of its own).
 
 Defined cases: a null html is empty and gives an empty text; a page without
 text gives an empty text; unclosed and stray tags are repaired as browsers do
@@ -39,14 +45,16 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer aside form button dialog menu audio video figcaption label input script style noscript template textarea iframe svg title select canvas object".split())
-BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("head nav footer aside form button dialog menu audio video label input script style noscript template textarea iframe svg title select canvas object".split())
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words in a class, id or role that mark what isn't the article.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments "
     "disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations widget toolbar pagination pager search tags contentinfo complementary".split()
 )
+#: Words that, joined to a word of NOISE in one class or id, don't change what it says.
+PLAIN = frozenset("area article bar block bottom box button buttons container entry form global icons inner item items left link links list main page post primary right secondary section site top wrap wrapper".split())
 #: Elements that only format: their text counts as their parent's.
 INLINE = frozenset("abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -74,8 +82,11 @@ def _noisy(tag: str, attrs: str, in_article: bool) -> bool:
     if _HIDDEN.search(attrs):
         return True
     for m in _NAMED.finditer(attrs):
-        if any(w in NOISE or w == "header" and not in_article for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower())):
-            return True
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(_SPLIT.split(token)) - {""}
+            noise = words & NOISE if in_article else words & (NOISE | {"header"})
+            if noise and words - noise <= PLAIN:
+                return True
     return False
 
 
@@ -143,10 +154,29 @@ def tree(page: str) -> Node:
 
 
 def _prune(root: Node) -> None:
-    """Takes the left-out elements away."""
+    """Takes the left-out elements away, but for those that hold the main text."""
     nodes = _order(root)
     if not any(n.out for n in nodes):
         return
+    size, seen, holds = {}, {}, {}
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if type(k) is Node]
+        own = sum(len(" ".join(k.split())) for k in n.kids if type(k) is str)
+        size[id(n)] = own + sum(size[id(k)] for k in kids)
+        seen[id(n)] = 0 if n.out else own + sum(seen[id(k)] for k in kids)
+        holds[id(n)] = {n.tag}.intersection(("article", "main")).union(*(holds[id(k)] for k in kids))
+    shut, within, free = {}, {}, set()
+    for n in nodes:
+        shut[id(n)] = n.out or n.up is not None and shut[id(n.up)]
+        within[id(n)] = n.up is not None and (n.up.tag in ("article", "main") or within[id(n.up)])
+        if n.tag in ("article", "main") and not shut[id(n)] and seen[id(n)]:
+            free.add(n.tag)
+    for n in nodes:
+        if n.out and n.tag != "head":
+            most = 2 * size[id(n)] > size[id(root)] and (within[id(n)] or not free)
+            if most or "main" in holds[id(n)] or "article" in holds[id(n)] and "article" not in free:
+                n.out = False
+                n.tag = "div" if n.tag == "header" else n.tag  # of a header only headings are taken
     for n in reversed(nodes):
         kids = []
         for k in n.kids:
@@ -199,17 +229,26 @@ def content(root: Node) -> set[int]:
     nodes = _order(root)
     _weigh(nodes)
     core = n = root.best
-    while n is not None and n.tag != "article":
+    article = None
+    while n is not None:
+        article = n if n.tag == "article" else article
         n = n.up
-    if n is not None:  # headings and short sections beside the core are the article's too
-        core, root = n, n
-        n.best = n
+    if article is not None:  # headings and short sections beside the core are the article's too
+        core = article
     threshold, n = core.density, core
     while n.up is not None:
         n = n.up
         threshold = min(threshold, n.density)
     taken: set[int] = set()
     todo = [root]
+    if article is not None:
+        todo, nested = [], set()
+        for n in nodes:
+            if n.up is not None and (n.up.tag == "article" or id(n.up) in nested):
+                nested.add(id(n))
+            elif n.tag == "article" and (n is article or n.density >= threshold):
+                n.best = n
+                todo.append(n)
     while todo:
         n = todo.pop()
         if n.density >= threshold and id(n) not in taken and n.chars:

@@ -74,3 +74,28 @@ LONG = "Plain words of an article that goes on for quite a while, as they do. "
 def test_unclosed_left_out_elements_end_as_others_do(page):
     got = H.main_text(page)
     assert got.count(LONG.strip()) == 2 and "Hi" not in got
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "layout-nav-top", "sidebar", "search-box main"])
+def test_layout_wrappers_keep_the_article(name):
+    assert H.main_text(f'<body><nav>menu</nav><div class="{name}"><article><p>{LONG}</p></article></div></body>') == LONG.strip()
+    assert H.main_text(f'<body><nav>menu</nav><div id="x" class="{name}"><p>{LONG}</p><p>{LONG}</p></div></body>').count(LONG.strip()) == 2
+
+
+def test_form_around_the_page():
+    assert H.main_text(f'<body><form><header class="x"><article><p>{LONG}</p></article></header></form></body>') == LONG.strip()
+
+
+def test_what_stands_beside_an_article_is_left_out_however_long():
+    page = f'<body><article><p>{LONG}</p></article><footer><p>{"Legal words. " * 90}</p></footer><div id="comments"><article><p>{"Nice post. " * 90}</p></article></div></body>'
+    assert H.main_text(page) == LONG.strip()
+
+
+def test_captions_stay():
+    assert H.main_text(f"<article><p>{LONG}</p><figure><img src=x><figcaption>A caption</figcaption></figure></article>").split("\n")[1] == "A caption"
+
+
+def test_sibling_articles_stay():
+    parts = [f"Part {i}. {LONG}".strip() for i in range(3)]
+    got = H.main_text("<body><div>" + "".join(f"<article><p>{x}</p></article>" for x in parts) + '</div><article><a href="/x">more</a><a href="/y">more</a></article></body>')
+    assert got.split("\n") == parts
