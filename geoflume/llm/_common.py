@@ -30,8 +30,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def tag_of(text: Column) -> Column:
-    """32 bits of a hash of the text: rows are told apart by these only where they share a doc_id."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+    """64 bits of a hash of the text: rows that share a doc_id, as all with a null one do, are told apart by these."""
+    return F.xxhash64(text)
 
 
 def id_of(col: Column) -> Column:

@@ -357,7 +357,8 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__tag", tag_of(text))
     rows = rows.join(first, (F.col("__id") == F.col("__i")) & (F.col("__tag") == F.col("__t")), "left_semi")
-    return rows.dropDuplicates(["__id", "__tag"]).drop("__id", "__tag")
+    rows = rows.withColumn("__more", F.xxhash64(F.lit(1), text))  # 128 bits, as rows go by them
+    return rows.dropDuplicates(["__id", "__tag", "__more"]).drop("__id", "__tag", "__more")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
