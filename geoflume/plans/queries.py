@@ -185,6 +185,15 @@ def densify_grid(spark, d):
     return R.densify(cells, ONE_DEGREE, cells, "ts", scale=10.0, missing=-9999.0).select(hour(), "row", "col", "value")
 
 
+@query(f"""WITH {_HOURLY}
+SELECT strftime(t.ts, '%Y%m%d%H')::BIGINT AS hour, g.row, g.col, coalesce(round(h.value, 6) * 10, -9999) AS value
+FROM (SELECT DISTINCT ts FROM h) t, (SELECT (i // 60)::INTEGER AS row, (i % 60)::INTEGER AS col FROM range(1500) r(i)) g LEFT JOIN h ON h.ts = t.ts AND h.row = g.row AND h.col = g.col""")
+def densify_grid_all(spark, d):
+    """As densify_grid, over every hour."""
+    cells = _hourly_cells(spark, d).withColumn("value", F.round("value", 6))
+    return R.densify(cells, ONE_DEGREE, cells, "ts", scale=10.0, missing=-9999.0).select(hour(), "row", "col", "value")
+
+
 @query("""WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity AS value, (l_partkey % 50)::DOUBLE + 0.25::DOUBLE AS x, (l_suppkey % 20)::DOUBLE + 0.5::DOUBLE AS y, 0.5::DOUBLE + (l_linenumber % 3)::DOUBLE * 0.5::DOUBLE AS s FROM lineitem),
 c AS (SELECT q.*, g.col, g.row, (greatest(0, least(x + s, g.col + 1) - greatest(x, g.col)) * greatest(0, least(y + s, g.row + 1) - greatest(y, g.row))) / (s * s) AS share
   FROM q, (SELECT (i % 60)::INTEGER AS col, (i // 60)::INTEGER AS row FROM range(1500) r(i)) g WHERE g.col < x + s AND g.col + 1 > x AND g.row < y + s AND g.row + 1 > y)
@@ -478,6 +487,15 @@ def unpivot_hours(spark, d):
     return long.select("station", F.substring("name", 2, 1).cast("int").alias("h"), r6(F.col("value"), "value"))
 
 
+@query("SELECT station, hour(ts)::INTEGER AS h, round(sum(value), 6) AS value FROM points GROUP BY ALL HAVING sum(value) IS NOT NULL")
+def unpivot_all_hours(spark, d):
+    """As unpivot_hours, with a column for each of the day's hours."""
+    names = [f"v{h}" for h in range(24)]
+    wide = points(spark, d).groupBy("station").agg(*[F.sum(F.when(F.hour("ts") == h, F.col("value"))).alias(name) for h, name in enumerate(names)])
+    long = wide.unpivot("station", names, "name", "value").filter("value is not null")
+    return long.select("station", F.substring("name", 2, 2).cast("int").alias("h"), r6(F.col("value"), "value"))
+
+
 @query("""SELECT station, string_agg(printf('%d=%.2f', h, v), ';' ORDER BY h) AS line FROM (SELECT station, hour(ts)::INTEGER AS h, max(value) AS v FROM points GROUP BY ALL) GROUP BY station""")
 def pivot_hours(spark, d):
     h = points(spark, d).groupBy("station", F.hour("ts").alias("h")).agg(F.max("value").alias("v"))
