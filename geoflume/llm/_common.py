@@ -7,6 +7,7 @@ of the input, whatever they are called, have no effect on it.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,32 @@ def id_back(col: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, a folder of its own in local mode and an error on a cluster."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="geoflume-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="geoflume-"))
     return sc.getCheckpointDir()
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores before those that are taken (Spark compares names without case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

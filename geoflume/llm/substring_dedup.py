@@ -109,7 +109,7 @@ def _pack(k: int):
                 new, old = (id, tag, start, n, key), best.get(packed)
                 if old is None or new[:3] < old[:3]:
                     best[packed], new = new, old
-                if new is not None:
+                if new is not None and new[:3] != best[packed][:3]:  # equal places are a repeated row's
                     rows.append((new[0], *new[:4], None))
 
             size = 0
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
     """id, tag, lo, hi: spans of words that lie in windows with an earlier equal window (docs as from keyed())."""
     cuts = docs.mapInArrow(_cuts(k, m), "id long, tag long, mini long, start int, n int, places int")
     often = cuts.groupBy("mini").agg(F.sum("places").alias("often")).filter("often > 1")
-    shared = cuts.join(often, "mini").groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("often") > hot).alias("hot"))).alias("cuts"))
+    shared = cuts.join(often, "mini").groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "mini", (F.col("often") > hot).alias("hot"))).alias("cuts"))
     packed = docs.join(shared, ["id", "tag"]).select("id", "tag", "text", "cuts").mapInArrow(_pack(k), "key long, id long, tag long, start int, n int, packed binary")
     return packed.repartition("key").sortWithinPartitions("key").mapInArrow(_count(k), "id long, tag long, lo int, hi int")
 
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> D
 def substring_dedup(documents: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
     docs = keyed(documents)
-    runs = repeated_spans(docs, k, m, hot).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = repeated_spans(docs, k, m, hot).groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     out = docs.join(runs, ["id", "tag"], "left").select("id", "text", "runs").mapInArrow(_finish, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(id_back(F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
 
@@ -263,4 +263,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE: dict[str, str] = {}
+#: For tables whose doc_ids are different and not null.
+ORACLE = {
+    "op1_substring_dedup": f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + {K - 1}], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {K - 2})) AS i FROM docs WHERE len(words) >= {K})
+),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+),
+gone AS (
+  SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(i, i + {K})) AS pos FROM again)
+),
+every AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs
+),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS kept, count(g.pos) AS n_removed
+  FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+}

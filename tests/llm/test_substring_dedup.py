@@ -50,3 +50,25 @@ def test_edges(make_docs):
     assert (None, 25, 0) in out and (1, 0, 0) in out and (2, 0, 0) in out
     assert out.count((5, 25, 25)) == 2 and (3, 25, 25) in out and (3, 25, 24) in out
     assert S.substring_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_a_repeated_row_does_not_repeat_itself(make_docs, hot):
+    """Two to sixty rows of one doc_id and text, in one task and in many, with and without an earlier document."""
+    text, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "wv")
+    rows = [(5, text)] * 60 + [(None, other)] * 7 + [(9, other), (8, "x"), (7, text), (3, "y " * 19 + other)]
+    for df in (make_docs(*rows).coalesce(1), make_docs(*rows).repartition(13)):
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in S.substring_dedup(df, hot=hot).collect())
+        assert got == sorted([("5", 30, 0)] * 60 + [("None", 30, 0)] * 7 + [("9", 30, 30), ("8", 1, 0), ("7", 30, 30), ("3", 49, 30)])
+    assert got_one(make_docs((5, text), (5, text))) == [(5, 30, 0)] * 2
+
+
+def got_one(df):
+    return [(r.doc_id, r.n_words, r.n_removed) for r in S.substring_dedup(df).collect()]
+
+
+def test_very_long_text(make_docs):
+    """A megabyte of one word repeated, and of different words with a passage of another document in them."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, passage), (2, " ".join(f"w{i}" for i in range(60000)) + " " + passage + " tail" * 10), (3, "z " * 200000)]
+    assert got(S.substring_dedup(make_docs(*rows))) == brute(rows)
