@@ -3,7 +3,10 @@
 DataFrame functions only. Lines are exploded as (document, position, hash of the
 normalised line); the distinct documents of each hash are counted; positions of
 lines over the threshold come back to their documents, which are put together
-again without them. The texts themselves are shuffled once.
+again without them. The texts themselves are shuffled once. The repeated lines'
+hashes are checkpointed before they are joined, so they have an exchange of their
+own and the adaptive plan sees their size: it broadcasts them while they are under
+its threshold and splits the other side of a frequent line beyond.
 
 Defined cases: a null or empty text is one empty line; rows without doc_id count
 as one document, before all others; rows that share a doc_id count as one
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import id_back, id_of, keyed, table, tag_of
+from geoflume.llm._common import col, cut, free, id_back, id_of, keyed, table, tag_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +39,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     keys = docs.select("id", "tag", F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
     keys = keys.filter(F.length("key") >= min_chars).select("id", "tag", "pos", F.unhex(F.md5("key")).alias("h"))
     held = keys.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("docs"), F.max("id").alias("stays"))
-    gone = keys.join(held.filter(F.col("docs") >= min_docs), "h").filter("id <> stays")
+    gone = keys.join(cut(held.filter(F.col("docs") >= min_docs).select("h", "stays")), "h").filter("id <> stays")
     return gone.groupBy("id", "tag").agg(F.collect_set("pos").alias("at"))
 
 
@@ -58,17 +61,17 @@ def line_dedup(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 def without_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The input's rows and columns, with the repeated lines gone from text. A null text stays null."""
-    gone = dropped_lines(keyed(documents), min_chars, min_docs).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("at").alias("__at"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumn("__i", id_of(F.col("doc_id"))).withColumn("__t", tag_of(text))
-    rows = rows.join(gone, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__tag")), "left")
+    i, t, id, tag, at = free(documents.columns, "i", "t", "id", "tag", "at")
+    gone = dropped_lines(keyed(documents), min_chars, min_docs).toDF(id, tag, at)
+    rows = documents.select("*", id_of(F.col("doc_id")).alias(i), tag_of(F.coalesce(F.col("text"), F.lit(""))).alias(t))
+    rows = rows.join(gone, (F.col(i) == F.col(id)) & (F.col(t) == F.col(tag)), "left")
     lines = _lines(F.col("text"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
-    kept = F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    kept = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
     out = rows.withColumn("text", kept)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in documents.columns])
+        out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+    return out.select(*[col(c) for c in documents.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

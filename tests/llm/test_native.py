@@ -66,3 +66,17 @@ def test_trigram_queries():
     q = {r.kind: S.trigram_query(r) for r in S.RULES}
     assert q["access"] == [["aki", "kia"]] and q["hex"] == [] and ["asw", "dwo"] not in q["assign"]
     assert len(q["assign"]) == 6
+
+
+def test_very_long_lines_and_clashing_columns(make_docs):
+    long = "a very long line " * 20000
+    df = make_docs((1, f"{long}\nb"), (2, f"{long}\n" + "c\n" * 20000), (3, long.upper()))
+    from pyspark.sql import functions as F
+
+    for name in ("__i", "__t", "__id", "__tag", "__at", "i", "ID", "tag", "at", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    out = L.without_repeated_lines(df)
+    assert out.columns == df.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [rows[i].text for i in (1, 2, 3)] == ["b", "c\n" * 20000, long.upper()]
+    assert all(rows[1][c] == c for c in df.columns[5:])
