@@ -23,11 +23,34 @@ from geoflume.llm._common import chunks, mix, table
 
 #: (rule, verdict): host, then path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-SIZES, BITS, MAX_TRAIN, EPOCHS = (3, 4, 5), 16, 10_000, 300
-_WORDS_BAD = ("spam-farm", "cheap-pills", "casino-bonus", "free-viagra", "adult-cams", "click-bait", "win-prizes", "payday-loans", "seo-links", "warez-crack", "link-farm", "fake-watches", "hot-singles", "crypto-doubler")
-_WORDS_GOOD = ("ththre", "therha", "ththan", "tionsh", "library", "news", "weather", "museum", "school", "recipes", "science", "history", "travel", "gardening", "thering", "university", "docs", "forum", "ththor", "thernd")
+SIZES, BITS, MAX_TRAIN, EPOCHS = (3, 4, 5), 16, 10_000, 1000
+#: Words of hosts to block, first and second, and of hosts to allow. The table joins them by rule; no host of the tables is among its urls.
+_BAD = ("casino slots poker jackpot bets betting lottery roulette viagra pills pharma adult porn xxx cams escort warez crack torrent spam links backlink ads popup tracker clicks prizes loans replica".split(), "bonus deals club hub 24 now zone store farm network king vip".split())
+_LURE = "cheap free hot win buy best-price instant easy".split()
+_GOOD = "library news weather museum school recipes science history travel garden university docs forum music maps kitchen bridge river mountain football chess painting theatre village harbour market orchard castle".split()
+_MORE = "city old north green daily open public local".split()
+_TAILS = (("org", "en/728"), ("net", "de/12.html"), ("com", "fr/5/"))
+
+
+def _names() -> Iterator[tuple[str, int]]:
+    """Names of hosts to block (1) and to allow (0): pairs of words, single words, and made-up words of syllables."""
+    first, second = _BAD
+    for i, w in enumerate(first):
+        for j in range(4):
+            yield f"{w}-{second[(i + 5 * j) % len(second)]}", 1
+            yield f"{_LURE[(i + 3 * j) % len(_LURE)]}-{w}", 1
+    for i, w in enumerate(_GOOD):
+        yield w, 0
+        for j in range(4):
+            yield f"{_MORE[(i + 3 * j) % len(_MORE)]}-{w}", 0
+            yield f"{w}-{_GOOD[(i + 7 * j + 1) % len(_GOOD)]}", 0
+    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    for i in range(120):
+        yield "".join(syllables[(i * 17 + j * (23 + i % 5)) % len(syllables)] for j in range(2 + i % 3)), 0
+
+
 #: The labelled urls: (url, 1 to block).
-LABELLED = tuple((f"https://{p}{w}.example.{t}/{s}", y) for words, y in ((_WORDS_BAD, 1), (_WORDS_GOOD, 0)) for w in words for p in ("", "www.", "blog.") for t, s in (("org", "en/728"), ("net", "de/12.html"), ("com", "fr/5/")))
+LABELLED = tuple((f"https://{p}{name}.example.{t}/{s}", y) for n, (name, y) in enumerate(_names()) for p, (t, s) in zip(("", "www.", "blog."), _TAILS[n % 3 :] + _TAILS[: n % 3]))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -72,7 +95,7 @@ def _score(rows, cells, n, weights, bias):
     return np.bincount(rows, weights[cells], minlength=n) / np.sqrt(size) + bias
 
 
-def train(hosts: list[str], paths: list[str], labels: list[int], epochs: int = EPOCHS, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(hosts: list[str], paths: list[str], labels: list[int], epochs: int = EPOCHS, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     rows, cells, n = features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))
     y, weights, bias = np.asarray(labels, float), np.zeros(1 << BITS), 0.0
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
