@@ -3,17 +3,19 @@
 Categories are predicted one after the other. Each category's model is a
 logistic regression on hashed words and word beginnings and on the probabilities
 of the categories before it; in training these are out-of-fold predictions, so a
-later model sees the errors that an earlier one makes on texts new to it.
+later model sees the errors that an earlier one makes on texts new to it. Features
+are chosen by chi-square, for out-of-fold predictions within the other folds.
 
 The models are fitted on the driver from at most ``MAX_TRAIN`` labelled rows,
 ``RARE`` of them at most with the last category set, chosen by a hash of the
-doc_id; only their hashed features are collected. Scoring is one scan without a
+doc_id; only their hashed features are collected, one row a doc_id. Scoring is one scan without a
 shuffle. The given labels know one toxicity category, so the query's chain is
 low quality, then toxic; the operator takes any list of 0/1 columns.
 
 Defined cases: null and empty texts have no features and get the models' base
 rate; a null doc_id stays null; labels with a null are left out, of repeated
-labels of a document the largest counts; a category without both values among
+labels of a document the largest counts, of rows with one labelled doc_id the
+least text; a category without both values among
 the labels has its share of ones as probability everywhere; repeated rows are
 scored each; other columns have no effect, and an empty table gives no rows.
 """
@@ -28,7 +30,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import chunks, slice_hash, table, word_spans
+from geoflume.llm._common import chunks, free, slice_hash, table, word_spans
 from geoflume.llm.decontaminate import normal
 
 MAX_TRAIN, RARE, FOLDS, BITS, PREFIX = 8000, 3000, 4, 20, 4
@@ -114,26 +116,38 @@ def _choose(rows: np.ndarray, found: np.ndarray, labels: np.ndarray, n: int) ->
     return index
 
 
+def _picked(index: np.ndarray, rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and column of the features that index selects, and their number."""
+    keep = index[found] >= 0
+    return rows[keep], index[found[keep]], int(index.max()) + 1
+
+
+def out_of_fold(rows: np.ndarray, found: np.ndarray, labels: np.ndarray, folds: int = FOLDS, selected: int = SELECTED) -> np.ndarray:
+    """Each category's probability for each row, from features and models that haven't seen the row's fold."""
+    n = len(labels)
+    fold, out = np.arange(n) % folds, np.zeros(labels.shape)
+    parts = []
+    for f in range(min(folds, n)):
+        train = fold != f
+        use = train[rows]
+        place = np.cumsum(train) - 1
+        parts.append((train, use, place, _choose(place[rows[use]], found[use], labels[train], selected)))
+    for c, y in enumerate(labels.T.astype(float)):
+        before = out[:, :c].copy()
+        for train, use, place, index in parts:
+            r, cols, width = _picked(index, rows, found)
+            t, tc, _ = _picked(index, rows[use], found[use])
+            part = Linear().fit(place[t], tc, width, before[train], y[train])
+            out[~train, c] = _sigmoid(part.z(r, cols, before))[~train]
+    return out
+
+
 def fit_chain(rows: np.ndarray, found: np.ndarray, labels: np.ndarray, folds: int = FOLDS, selected: int = SELECTED) -> Chain:
     """labels: 0/1, a column for each category in the chain's order."""
-    n = len(labels)
     index = _choose(rows, found, labels, selected)
-    keep = index[found] >= 0
-    rows, cols = rows[keep], index[found[keep]]
-    fold = np.arange(n) % folds
-    models, before, width = [], np.zeros((n, 0)), int(index.max()) + 1
-    for y in labels.T.astype(float):
-        models.append(Linear().fit(rows, cols, width, before, y))
-        out = np.zeros(n)
-        for f in range(folds):
-            test = fold == f
-            if test.any() and not test.all():
-                place = np.cumsum(~test) - 1
-                use = ~test[rows]
-                part = Linear().fit(place[rows[use]], cols[use], width, before[~test], y[~test])
-                out[test] = _sigmoid(part.z(rows, cols, before))[test]
-        before = np.column_stack((before, out))
-    return Chain(index, models)
+    before = out_of_fold(rows, found, labels, folds, selected)
+    rows, cols, width = _picked(index, rows, found)
+    return Chain(index, [Linear().fit(rows, cols, width, before[:, :c], y) for c, y in enumerate(labels.T.astype(float))])
 
 
 def train(documents: DataFrame, labels: DataFrame, categories: list[str], max_train: int = MAX_TRAIN, rare: int = RARE) -> Chain:
@@ -143,7 +157,8 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[str], max_tr
     ones = known.filter(F.col(categories[-1]) == 1).orderBy(*by).limit(rare)
     sample = ones.unionByName(known.filter(F.col(categories[-1]) != 1).orderBy(*by).limit(max_train - rare))
     # at most max_train rows of integers
-    texts = documents.select("doc_id", normal(F.col("text")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", *categories).agg(normal(F.min("text")).alias("text"))  # however often a doc_id is repeated
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,13 +193,14 @@ def score(documents: DataFrame, chain: Chain, categories: list[str]) -> DataFram
 
 def accepted(documents: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, whose last category stays under the threshold."""
-    rows = documents.withColumn("__normal", normal(F.col("text")))
+    [words] = free(documents.columns, "words")
+    rows = documents.select("*", normal(F.col("text")).alias(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(chain.predict(b["__normal"])[:, -1] < threshold))
+            yield b.filter(pa.array(chain.predict(b[words])[:, -1] < threshold))
 
-    return rows.mapInArrow(run, rows.schema).drop("__normal")
+    return rows.mapInArrow(run, rows.schema).drop(words)
 
 
 CATEGORIES = ["low_quality", "toxic"]
