@@ -80,3 +80,33 @@ def test_very_long_lines_and_clashing_columns(make_docs):
     rows = {r.doc_id: r for r in out.collect()}
     assert [rows[i].text for i in (1, 2, 3)] == ["b", "c\n" * 20000, long.upper()]
     assert all(rows[1][c] == c for c in df.columns[5:])
+
+
+def test_mixing_repeated_rows_and_clashes(spark, make_docs):
+    """Copies share what is taken of them, the source's target is met but for less than a word a copy, and bins don't matter."""
+    from pyspark.sql import functions as F
+
+    rows = [(5, "a b c d e f g h i j", "s0")] * 40 + [(None, "x y z", "s1")] * 30 + [(i, "w " * (i % 9), "s1") for i in range(60)] + [(i, "q r", None) for i in range(50)] + [(1, None, "empty"), (2, "", "empty")]
+    df = make_docs(*rows)
+    for name in ("size", "Target", "taken_input", "taken", "document", "p_source", "key", "tag", "epochs", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    plain = sorted(map(str, M.mix(df).collect()))
+    assert plain == sorted(map(str, M.mix(df.repartition(7), per_bin=3).collect())) and len(plain) == len(rows)
+    by = {}
+    for r, s in zip(M.mix(df.select("doc_id", "text", "source")).collect(), df.select("source").collect()):
+        by.setdefault((r.source_size, r.target), []).append(r)
+    assert (0, 0.0) in by
+    for (size, target), got in by.items():
+        assert sum(r.size for r in got) == size and -0.5 <= target - sum(r.taken for r in got) < 40.5 and all(r.taken <= 3 * r.size for r in got)
+    out = M.mixed(df)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size_input", "Target_input", "taken_input", "_taken_input", "document", "p_source", "key", "tag", "epochs", "a.b", "size", "source_size", "target", "taken"]
+    got = out.collect()
+    assert sum(r.taken for r in got) == sum(r.taken for v in by.values() for r in v) and all(r.size_input == "size" and r["a.b"] == "a.b" for r in got)
+    assert M.mixed(df.limit(0)).count() == 0
+
+
+def test_mixing_bins_do_not_matter_on_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(map(str, M.mix(docs, per_bin=1).collect())) == sorted(map(str, M.mix(docs).collect()))
+    very_long = spark.createDataFrame([(1, "word " * 300000, "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.size for r in M.mix(very_long).collect()} == {1: 300000, 2: 1}
