@@ -7,7 +7,7 @@ of the input, whatever they are called, have no effect on it.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep_rows(documents: DataFrame, text: Column, keep: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows whose text, worked out by the column given, passes keep()'s mask; one scan, whatever the columns are called."""
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    [extra] = free(documents.columns, "text")
+    rows = documents.select("*", text.alias(extra)).toDF(*names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for b in batches:
+            yield b.filter(pa.array(passes(b["text"])))
+
+    return rows.mapInArrow(run, rows.schema).drop("text").toDF(*documents.columns)
+
+
 #: The white space of the contracts: space and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

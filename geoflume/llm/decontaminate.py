@@ -8,13 +8,16 @@ every passage is near an exact hit of a piece. Hits are found with one hash
 lookup a word and piece length, and verified with Myers' bit-parallel distance,
 over words, in the part of the text where the item can lie.
 
-The items are a stated query set: they reach the tasks in blocks of at most
-``BLOCK`` characters, however many there are. Documents are not shuffled; only
-the hits are.
+The items are a stated query set: they reach the tasks in blocks of about
+``BLOCK`` characters, however many there are; the driver holds one block at a time,
+as each block's hits are checkpointed before the next. Documents are not shuffled;
+only the hits are, and for items of more than one block clean() joins the documents
+with the keys of those that were hit.
 
 Defined cases: null and empty texts and items hold nothing; a null doc_id stays
 null; documents are judged row by row, and hits of rows with the same doc_id are
-reported together; repeated items count once; other columns have no effect.
+reported together; repeated items count once; an item of one word is found in every
+document with that word; other columns have no effect; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import chunks, id_back, id_of, rolling, slice_hash, table, word_spans
+from geoflume.llm._common import chunks, cut, free, id_back, id_of, keep_rows, rolling, slice_hash, table, word_spans
 
 BUDGET, EXACT, BLOCK = 0.2, 8, 8 << 20
 _BITS = 20
@@ -128,50 +131,71 @@ class Index:
                     yield row + d, item_id, *best
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks, and each block's items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("text")).filter("item_id is not null and text <> ''").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(total // block) + 1
-    for b in range(n):
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()]
+    n = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // block) + 1
+    if n > 1:
+        items = cut(items)
+
+    def each() -> Iterator[list[tuple[int, str]]]:
+        for b in range(n):
+            own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+            yield [(r.item_id, r.text) for r in own.orderBy("item_id", "text").toLocalIterator()]
+
+    return n, each()
+
+
+def _finder(items: list[tuple[int, str]], budget: float):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items, budget)
+        for b in batches:
+            ids, tags = b["id"].to_numpy(), b["tag"].to_numpy()
+            rows = [(ids[r], tags[r], *x) for r, *x in index.hits(b["text"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 6)], names=["id", "tag", "item_id", "distance", "first_word", "end_word"])
+
+    return find
+
+
+def _hits(documents: DataFrame, benchmark: DataFrame, budget: float, block: int) -> DataFrame:
+    """id, tag, item_id, distance, first_word, end_word for each row and item. tag is of the whole text."""
+    docs = documents.select(id_of(F.col("doc_id")).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tag"), normal(F.col("text")).alias("text"))
+    out, (n, blocks) = None, _blocks(benchmark, block)
+    for items in blocks:
+        found = docs.mapInArrow(_finder(items, budget), "id long, tag long, item_id long, distance long, first_word long, end_word long")
+        found = found if n == 1 else cut(found)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, distance, first_word, end_word: the best passage of each item in each document."""
-    docs = documents.select(id_of(F.col("doc_id")).alias("id"), normal(F.col("text")).alias("text"))
-    parts = []
-    for items in _blocks(benchmark, block):
-
-        def find(batches, items=items):
-            index = Index(items, budget)
-            for b in batches:
-                rows = [(b["id"][r].as_py(), *x) for r, *x in index.hits(b["text"])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["id", "item_id", "distance", "first_word", "end_word"])
-
-        parts.append(docs.mapInArrow(find, "id long, item_id long, distance long, first_word long, end_word long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = out.groupBy("id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("best"))
+    best = _hits(documents, benchmark, budget, block).groupBy("id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("best"))
     return best.select(id_back(F.col("id")).alias("doc_id"), "item_id", "best.*")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block: int = BLOCK) -> DataFrame:
-    """The documents, with all their columns, that hold no test item. One scan for each block of items, no shuffle."""
-    out = documents.withColumn("__normal", normal(F.col("text")))
-    schema = out.schema
-    for items in _blocks(benchmark, block):
+    """The documents, with all their columns, that hold no test item."""
+    n, blocks = _blocks(benchmark, block)
+    if n == 1:
+        items = next(blocks)
 
-        def keep(batches, items=items):
+        def keep():
             index = Index(items, budget)
-            for b in batches:
-                ok = np.ones(len(b), bool)
-                ok[[r for r, *_ in index.hits(b["__normal"])]] = False
-                yield b.filter(pa.array(ok))
 
-        out = out.mapInArrow(keep, schema)
-    return out.drop("__normal")
+            def passes(texts: pa.Array) -> np.ndarray:
+                ok = np.ones(len(texts), bool)
+                ok[[r for r, *_ in index.hits(texts)]] = False
+                return ok
+
+            return passes
+
+        return keep_rows(documents, normal(F.col("text")), keep)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    i, t, id, tag = free(documents.columns, "i", "t", "id", "tag")
+    hit = cut(_hits(documents, benchmark, budget, block).select("id", "tag").distinct().toDF(id, tag))
+    rows = documents.select("*", id_of(F.col("doc_id")).alias(i), F.xxhash64(text).alias(t))
+    return rows.join(hit, (F.col(i) == F.col(id)) & (F.col(t) == F.col(tag)), "left_anti").drop(i, t)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import chunks, free, slice_hash, table, word_spans
+from geoflume.llm._common import chunks, keep_rows, slice_hash, table, word_spans
 from geoflume.llm.decontaminate import normal
 
 MAX_TRAIN, RARE, FOLDS, BITS, PREFIX = 8000, 3000, 4, 20, 4
@@ -193,14 +193,7 @@ def score(documents: DataFrame, chain: Chain, categories: list[str]) -> DataFram
 
 def accepted(documents: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, whose last category stays under the threshold."""
-    [words] = free(documents.columns, "words")
-    rows = documents.select("*", normal(F.col("text")).alias(words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(chain.predict(b[words])[:, -1] < threshold))
-
-    return rows.mapInArrow(run, rows.schema).drop(words)
+    return keep_rows(documents, normal(F.col("text")), lambda: lambda texts: chain.predict(texts)[:, -1] < threshold)
 
 
 CATEGORIES = ["low_quality", "toxic"]

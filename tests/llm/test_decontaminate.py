@@ -64,3 +64,34 @@ def test_spark(spark, make_docs):
         left = D.clean(df, bench, block=block)
         assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "None"]
     assert D.contamination(df.limit(0), bench).count() == 0 and D.clean(df, bench.limit(0)).count() == 8
+
+
+def test_query_by_brute_force(spark, sf_dir):
+    """Each document and item of the tables against the plain distance, where they share a word in eight."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", D.normal(F.col("text")).alias("text")).collect()
+    items = [(r.item_id, r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", D.normal(F.col("text")).alias("text")).collect()]
+    want = {}
+    for d in docs:
+        text = d.text.split()
+        known = set(text)
+        for i, words_ in items:
+            k = D.edits(len(words_))
+            # every edit spoils at most one word of the item, so fewer shared words can't be within k
+            if sum(w in known for w in words_) >= len(words_) - k and (n := distance(words_, text)[0]) <= k:
+                want.setdefault(d.doc_id, []).append((i, n))
+    got = {r.doc_id: (r.n_items, r.item_ids, r.least_distance) for r in D.op5_decontaminate(spark, sf_dir).collect()}
+    assert got == {d: (len(v), sorted(i for i, _ in v), min(n for _, n in v)) for d, v in want.items()} and got
+
+
+def test_very_long_text_and_clashes(spark, make_docs):
+    item = " ".join(f"item{i}" for i in range(20))
+    long = "word " * 200000
+    df = make_docs((1, long + item), (2, long), (None, item), (None, "fine"))
+    for name in ("__normal", "words", "i", "t", "id", "tag", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    bench = spark.createDataFrame([(9, item), (10, "other words of some item that is in no text at all")], "item_id long, text string")
+    for block in (100, 8 << 20):
+        left = D.clean(df, bench, block=block)
+        assert left.columns == df.columns and sorted((str(r.doc_id), r["a.b"], r["tag"]) for r in left.collect()) == [("2", "a.b", "tag"), ("None", "a.b", "tag")]
+    hit = {r.doc_id: (r.first_word, r.end_word) for r in D.contamination(df, bench, block=100).collect()}
+    assert hit == {1: (200000, 200020), None: (0, 20)}

@@ -91,7 +91,7 @@ def test_scores_by_brute_force(spark, sf_dir):
 
 
 def test_hot_doc_id_and_clashes(spark, make_docs):
-    df = make_docs(*[(2, f"moron {i % 3}") for i in range(300)], (3, "fine"), (None, "x")).withColumn("__normal", F.lit("n")).withColumn("words", F.lit("w"))
+    df = make_docs(*[(2, f"moron {i % 3}") for i in range(300)], (3, "fine"), (None, "x")).withColumn("__normal", F.lit("n")).withColumn("words", F.lit("w")).withColumn("a.b", F.lit(1))
     chain = T.train(df, T.label_table(spark.createDataFrame([(2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")), T.CATEGORIES)
     out = T.accepted(df, chain)
     assert out.columns == df.columns and all(r["words"] == "w" and r["__normal"] == "n" for r in out.collect())
