@@ -110,3 +110,54 @@ def test_mixing_bins_do_not_matter_on_the_table(spark, sf_dir):
     assert sorted(map(str, M.mix(docs, per_bin=1).collect())) == sorted(map(str, M.mix(docs).collect()))
     very_long = spark.createDataFrame([(1, "word " * 300000, "a"), (2, "y", "b")], "doc_id long, text string, source string")
     assert {r.doc_id: r.size for r in M.mix(very_long).collect()} == {1: 300000, 2: 1}
+
+
+#: Pieces of random regexes with a string that each matches.
+PIECES = (("abc", "abc"), ("A[xy]b", "Axb"), ("[a-z]{3}", "qrs"), ("(?:foo|bar|ba)", "ba"), ("(?i:Key)", "kEY"), ("x?yz", "yz"), ("(?:ab){2}", "abab"), ("\\x20*", "  "), ("[0-9]+", "77"), ("(lo|hi)+", "lohi"), ("é", "é"), ("(?:aa|b[cd]e)", "bde"), (".", "z"))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_trigram_queries_hold_in_every_match(seed):
+    import random
+    import re
+
+    rng = random.Random(seed)
+    picked = [rng.choice(PIECES) for _ in range(rng.randint(1, 5))]
+    regex, match = "".join(p for p, _ in picked), "".join(m for _, m in picked)
+    assert re.search(regex, match)
+    q = S.trigram_query(S.Rule("x", regex))
+    low = match.lower()
+    assert not q or any(all(g in low for g in x) for x in q)
+    if any(p == "abc" for p, _ in picked):
+        assert q and all("abc" in x for x in q)
+
+
+def test_trigram_queries_of_the_rules():
+    q = {r.kind: S.trigram_query(r) for r in S.RULES}
+    grams = lambda x: sorted({x[i : i + 3] for i in range(len(x) - 2)})
+    assert q["assign"] == sorted(grams(x) for x in ("password", "passwd", "secret", "token", "api_key", "apikey"))
+    assert q["github"] == sorted(grams(f"gh{c}_") for c in "pousr") and q["slack"] == sorted(grams(f"xox{c}-") for c in "abprs")
+    assert q["jwt"] == [sorted({"eyj", ".ey"})] and q["pem"] == [sorted({*grams("-----begin "), *grams("private key-----")})]
+
+
+def test_many_matches_in_one_text(make_docs):
+    """Sixty thousand matches take about as long a match as a thousand; repeated rows and other texts of one doc_id aside."""
+    import time
+
+    text = " ".join(f"{i:024x} é token=abcdef{i}" for i in range(30000))
+    df = make_docs((1, text), (1, text), (1, "password=hunter22"), (None, "x" * 500000 + " AKIA" + "A" * 16))
+    began = time.time()
+    got = sorted(((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.spans[-40:]) for r in S.secret_scan(df).collect()))
+    assert time.time() - began < 60
+    n = len(text)
+    at = n - len("token=abcdef29999")
+    assert [g[:4] for g in got] == [("1", 1, 0, 0), ("1", 30000, 0, 30000), ("1", 30000, 0, 30000), ("None", 0, 1, 0)]
+    assert got[1][4].endswith(f"hex:{at - 27}:{at - 3},assign:{at}:{n}"[-30:]) and got[0][4] == "assign:0:17" and got[3][4] == "access:500001:500021"
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_candidates_by_broadcast_and_by_join(make_docs, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    df = make_docs(*ROWS)
+    assert sorted(r.doc_id for r in S.candidates(S.keyed(df)).select("id").withColumnRenamed("id", "doc_id").collect()) == [7, 8, 9]
+    assert {r.doc_id: r.spans for r in S.secret_scan(df).collect()}[9] == "assign:301:317,assign:319:335,assign:337:353"
