@@ -6,9 +6,9 @@ or role names them so) are left out. Every other element gets its composite
 text density: characters per tag (formatting tags aside), reduced by the share of link characters and
 link tags as against the body's. The element whose children's densities sum to
 the most is the core of the article; the least density on its path to the body
-is the threshold; under every element that reaches it the maximum-sum subtree
-is taken. A core inside an article element stands for that whole element, and
-with it are taken the page's other article elements that reach the threshold.
+is the threshold. The main text grows from the core towards the body: beside it, and
+beside what holds it, headings and what they head, elements of prose and whatever reaches the threshold
+are the article's too, with what stands between them, but for what is mostly links.
 
 A class, id or role names what is left out by a word of ``NOISE``, alone or joined
 to others of them or of ``PLAIN``. An element stays, whatever it is, if it holds main,
@@ -17,8 +17,11 @@ stands beside an article or main with text of its own).
 
 Defined cases: a null html is empty and gives an empty text; a page without
 text gives an empty text; unclosed and stray tags are repaired as browsers do
-for paragraphs, list items, table cells and options, in left-out elements too; repeated rows are
-extracted each; null page_id and url stay null; other columns have no effect.
+for paragraphs, list items, table cells and options, in left-out elements too; a
+quote without its end doesn't quote; a script, style, title, text area or frame
+without its end tag takes the rest of the page; repeated rows are
+extracted each; null page_id and url stay null; other columns have no effect. The
+time grows with the page's length, whatever is unclosed in it.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,13 +38,11 @@ from pyspark.sql import functions as F
 
 from geoflume.llm._common import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|canvas|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content isn't markup, up to their end tag; the others named here are ordinary ones where that is missing.
+_RAW = frozenset("script style textarea title iframe".split())
+_CLOSED = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in (*_RAW, "noscript", "template", "svg", "select", "canvas", "object")}
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -58,6 +60,8 @@ PLAIN = frozenset("area article bar block bottom box button buttons container en
 #: Elements that only format: their text counts as their parent's.
 INLINE = frozenset("abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of prose, which belong to the article that they stand in.
+PROSE = HEADS | frozenset("p blockquote pre figure figcaption ul ol dl table".split())
 _CLOSES = {t: frozenset(("p",)) for t in BLOCKS} | {"li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 #: What may stand in a head without ending it.
 _IN_HEAD = frozenset("base link meta noscript script style template title".split())
@@ -65,10 +69,10 @@ _WALL = frozenset("article aside body div footer form header html main nav ol se
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "out")
+    __slots__ = ("tag", "up", "kids", "deep", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "out")
 
     def __init__(self, tag: str, up: Node | None, out: bool = False):
-        self.tag, self.up, self.kids, self.out = tag, up, [], out
+        self.tag, self.up, self.kids, self.out, self.deep = tag, up, [], out, up.deep + 1 if up else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
@@ -90,14 +94,74 @@ def _noisy(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """Text before a tag, the tag's name, whether it is an end tag, and its attributes; at last a text with an empty name."""
+    at = start = 0
+    quoting, unclosed = True, set()
+    last = {c: page.rfind(c) for c in ">\"'"}
+    while (j := page.find("<", at)) >= 0:
+        if page.startswith("<!--", j):
+            yield page[start:j], "", False, ""
+            at = page.find("-->", j + 2) + 3
+            if at == 2:
+                return
+            start = at
+            continue
+        if j > last[">"]:
+            break
+        m = _NAME.match(page, j + 1)
+        if m is None:
+            at = j + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                yield page[start:j], "", False, ""
+                at = start = page.find(">", j) + 1
+            continue
+        end, look = -1, m.end()
+        while quoting and (s := _STOP.search(page, look)):
+            if s[0] == ">":
+                end = s.start()
+                break
+            look = page.find(s[0], s.end()) + 1 if s.start() < last[s[0]] else s.end()
+        if end < 0:  # quotes hide every end of the tag: from here on they don't count
+            quoting, end = False, page.find(">", m.end())
+        name, attrs = m[2].lower(), page[m.end() : end]
+        closed = None
+        if not m[1] and name in _CLOSED and name not in unclosed and not (name == "svg" and attrs.endswith("/")):
+            closed = _CLOSED[name].search(page, end + 1)
+            if closed is None:
+                if name in _RAW:
+                    yield page[start:j], "", False, ""
+                    return
+                unclosed.add(name)
+        if closed is None:
+            yield page[start:j], name, bool(m[1]), attrs
+            at = start = end + 1
+        else:
+            yield page[start:j], "", False, ""
+            after = page.find(">", closed.end())
+            at = start = after + 1 if after >= 0 else len(page)
+    yield page[start:], "", False, ""
+
+
 def tree(page: str) -> Node:
     """The page's elements and texts, without the left-out ones."""
     root = Node("html", None)
-    at, articles, outs, last = root, 0, 0, 0
+    at, articles, outs = root, 0, 0
+    #: Elements that end tags and implied ends don't reach beyond, each with the open ones in it by name.
+    walls: list[tuple[Node, dict[str, list[Node]]]] = [(root, {})]
+    open_walls: Counter[str] = Counter()
 
-    def text(raw: str) -> None:
-        if raw:
-            at.kids.append(html.unescape(raw))
+    def enter(node: Node) -> None:
+        nonlocal at, articles, outs
+        at.kids.append(node)
+        articles += node.tag in ("article", "main")
+        outs += node.out
+        if node.tag in _WALL:
+            walls.append((node, {}))
+            open_walls[node.tag] += 1
+        else:
+            walls[-1][1].setdefault(node.tag, []).append(node)
+        at = node
 
     def close(node: Node) -> None:
         nonlocal at, articles, outs
@@ -105,32 +169,40 @@ def tree(page: str) -> Node:
         while at is not end:
             articles -= at.tag in ("article", "main")
             outs -= at.out
+            if at.tag in _WALL:
+                walls.pop()
+                open_walls[at.tag] -= 1
+            else:
+                walls[-1][1][at.tag].pop()
             at = at.up
 
-    for m in _TOKEN.finditer(page):
-        text(page[last : m.start()])
-        last = m.end()
-        tag = (m["name"] or "").lower()
+    for text, tag, ends, attrs in tokens(page):
+        if text:
+            at.kids.append(html.unescape(text))
         if not tag:
             continue
-        if m["end"]:
-            node = at
-            while node is not None and node.tag != tag and not (node.tag in _WALL and tag not in _WALL):
-                node = node.up
-            if node is not None and node.tag == tag and node.up is not None:
+        if ends:
+            node = None
+            if tag not in _WALL:
+                found = walls[-1][1].get(tag)
+                node = found[-1] if found else None
+            elif open_walls[tag]:
+                node = next(w for w, _ in reversed(walls) if w.tag == tag)
+            if node is not None:
                 close(node)
             elif tag in BLOCKS:
                 at.kids.append(Node("hr", at))
             continue
-        attrs = m["attrs"] or ""
         if at.tag == "head" and tag not in _IN_HEAD:
             close(at)
         if closes := _CLOSES.get(tag):
-            node, last_closed = at, None
-            while node is not None and node.tag not in _WALL - closes:
-                if node.tag in closes and node.up is not None:
-                    last_closed = node
-                node = node.up
+            last_closed = None
+            for wall, inside in reversed(walls):
+                found = [inside[t][0] for t in closes if inside.get(t)]
+                last_closed = min(found, key=lambda n: n.deep) if found else last_closed
+                if wall.tag not in closes or wall.up is None:
+                    break
+                last_closed = wall
             if last_closed is not None:
                 close(last_closed)
         if tag == "br":
@@ -143,12 +215,7 @@ def tree(page: str) -> Node:
             pass
         elif out or tag not in ("html", "body") and (tag not in INLINE or outs and not attrs.endswith("/")):
             # formatting tags in a left-out element are kept until _prune, so that its end is found
-            node = Node(tag, at, out)
-            at.kids.append(node)
-            articles += tag in ("article", "main")
-            outs += out
-            at = node
-    text(page[last:])
+            enter(Node(tag, at, out))
     _prune(root)
     return root
 
@@ -177,16 +244,18 @@ def _prune(root: Node) -> None:
             if most or "main" in holds[id(n)] or "article" in holds[id(n)] and "article" not in free:
                 n.out = False
                 n.tag = "div" if n.tag == "header" else n.tag  # of a header only headings are taken
-    for n in reversed(nodes):
-        kids = []
-        for k in n.kids:
+    for n in nodes:
+        if n.tag in INLINE and not n.out:
+            continue
+        kids, todo = [], n.kids[::-1]
+        while todo:
+            k = todo.pop()
             if type(k) is Node and k.tag in INLINE and not k.out:
-                kids += k.kids
-                for x in k.kids:
-                    if type(x) is Node:
-                        x.up = n
+                todo += k.kids[::-1]
             elif type(k) is str or not k.out:
                 kids.append(k)
+                if type(k) is Node:
+                    k.up = n
         n.kids = kids
 
 
@@ -224,43 +293,48 @@ def _weigh(nodes: list[Node]) -> None:
         n.best = max([n, *(k.best for k in kids)], key=lambda x: x.total)
 
 
+def _links(n: Node) -> bool:
+    return 2 * n.link_chars > n.chars
+
+
 def content(root: Node) -> set[int]:
-    """ids of the elements that belong to the main text, with all below them."""
+    """ids of the elements that belong to the main text."""
     nodes = _order(root)
     _weigh(nodes)
     core = n = root.best
-    article = None
-    while n is not None:
-        article = n if n.tag == "article" else article
-        n = n.up
-    if article is not None:  # headings and short sections beside the core are the article's too
-        core = article
-    threshold, n = core.density, core
+    threshold = core.density
     while n.up is not None:
         n = n.up
         threshold = min(threshold, n.density)
     taken: set[int] = set()
-    todo = [root]
-    if article is not None:
-        todo, nested = [], set()
-        for n in nodes:
-            if n.up is not None and (n.up.tag == "article" or id(n.up) in nested):
-                nested.add(id(n))
-            elif n.tag == "article" and (n is article or n.density >= threshold):
-                n.best = n
-                todo.append(n)
-    while todo:
-        n = todo.pop()
-        if n.density >= threshold and id(n) not in taken and n.chars:
-            new = [n.best] if id(n.best) not in taken else []
-            while new:
-                x = new.pop()
-                taken.add(id(x))
-                new += [k for k in x.kids if type(k) is Node and id(k) not in taken]
-            todo += [k for k in n.kids if type(k) is Node and id(k) not in taken]
+
+    def take(node: Node) -> None:
+        new = [node]
+        while new:
+            x = new.pop()
+            taken.add(id(x))
+            new += [k for k in x.kids if type(k) is Node]
+
+    take(core)
+    n = core
+    while n.up is not None:  # what stands beside the core, and beside what holds it
+        kids = [k for k in n.up.kids if type(k) is Node and k.chars]
+        good = [k is n or not _links(k) and (k.tag in PROSE or k.density >= threshold or _headed(k)) for k in kids]
+        if any(type(k) is str and k.strip() for k in n.up.kids):
+            taken.add(id(n.up))
+        if True in good:
+            first, last = good.index(True), len(good) - good[::-1].index(True)
+            for i, k in enumerate(kids):
+                if k is not n and (good[i] or first < i < last and not _links(k)):
+                    take(k)
+        n = n.up
     return taken
 
 
+def _headed(n: Node) -> bool:
+    return any(type(k) is Node and k.tag in HEADS for k in n.kids)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""

@@ -99,3 +99,49 @@ def test_sibling_articles_stay():
     parts = [f"Part {i}. {LONG}".strip() for i in range(3)]
     got = H.main_text("<body><div>" + "".join(f"<article><p>{x}</p></article>" for x in parts) + '</div><article><a href="/x">more</a><a href="/y">more</a></article></body>')
     assert got.split("\n") == parts
+
+
+LINKS = "".join(f'<li><a href="/{i}">A link to page {i}</a></li>' for i in range(12))
+TEASERS = "".join(f'<div><a href="/t{i}">Teaser {i} of another story</a> <span>by X</span></div>' for i in range(6))
+PLAIN_PAGES = {
+    "links before and after": (f"<body><div><ul>{LINKS}</ul></div><div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>{TEASERS}</div></body>", ["Title", LONG, "Short.", LONG]),
+    "sections": (f"<body><table><tr><td><a href=/>Home</a> <a href=/x>About us</a></td></tr></table><div><h1>T</h1><section><h2>A</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>B</h2><p>Brief.</p></section></div><div>{TEASERS}</div></body>", ["T", "A", LONG, LONG, "B", "Brief."]),
+    "divs for paragraphs": (f"<body><div>{TEASERS}</div><div><div>{LONG}</div><div>{LONG}<a href=x>one link</a></div><ul><li>one<li>two</ul></div></body>", [LONG, LONG.strip() + " one link", "one", "two"]),
+    "a short line beside the core": (f"<body><div>Sign up now</div><div><p>{LONG}</p><p>{LONG}</p></div><div>Call us</div></body>", [LONG, LONG]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PLAIN_PAGES))
+def test_density_decides_where_nothing_is_named(name, monkeypatch):
+    """No article element, no telling class names: the core comes from the densities, and without them the page comes out wrong."""
+    page, want = PLAIN_PAGES[name]
+    want = "\n".join(x.strip() for x in want)
+    assert H.main_text(page) == want
+    weigh = H._weigh
+
+    def flat(nodes):
+        weigh(nodes)
+        for n in nodes:
+            n.density, n.total, n.best, n.link_chars = 0.0, 0.0, n, 0
+
+    monkeypatch.setattr(H, "_weigh", flat)
+    assert H.main_text(page) != want
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<p x ", '<a href="', "<a '\">", '<a ">"', "<!-- ", "<td>", "</p>", "<b", "<p title='>", "<div></section>", "<dt><a>", "<span class=ad><span>x"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 15
+    began = time.perf_counter()
+    H.main_text(piece * (32_000 // len(piece)))
+    assert time.perf_counter() - began < 1
+
+
+def test_missing_end_tags():
+    assert H.main_text(f"<p>{LONG}<svg/><p>{LONG}<svg><path></svg><p>End of it.").split("\n") == [LONG.strip(), LONG.strip(), "End of it."]
+    assert H.main_text(f"<p>{LONG}<script>var a = '<p>no</p>'") == LONG.strip()
+    assert H.main_text(f'<p class="x>{LONG}<p>{LONG}') == "\n".join([LONG.strip()] * 2)
+    assert H.main_text(f"a < b <p>{LONG}</p> 1 <2") == f"a < b\n{LONG.strip()}\n1 <2"
