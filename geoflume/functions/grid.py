@@ -102,3 +102,50 @@ def ring_area(xs: Column, ys: Column) -> Column:
 def circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.asin(F.sqrt(h)) * (2 * 6371.0088)
+
+
+def ordered_bounds(west: Column, south: Column, east: Column, north: Column) -> dict[str, Column]:
+    """Bounds with their ends in order; all of the globe where one of them is missing or none of its places is one."""
+    bad = ~F.coalesce(valid_lon(west) & valid_lon(east) & valid_lat(south) & valid_lat(north), F.lit(False))
+    ends = {"west": (F.least(west, east), -180.0), "south": (F.least(south, north), -90.0), "east": (F.greatest(west, east), 180.0), "north": (F.greatest(south, north), 90.0)}
+    return {k: F.when(bad, F.lit(full)).otherwise(v) for k, (v, full) in ends.items()}
+
+
+def clamped(lon: Column, neighbour: Column) -> Column:
+    """A longitude on its neighbour's side of the date line: at the line if the two are over 180 degrees apart."""
+    return F.when(F.abs(lon - neighbour) > 180, F.when(neighbour < 0, -180.0).otherwise(180.0)).otherwise(lon)
+
+
+def subsumes(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether box a holds all of box b."""
+    return (a["west"] <= b["west"]) & (a["east"] >= b["east"]) & (a["south"] <= b["south"]) & (a["north"] >= b["north"])
+
+
+#: Squared ratio of the semi-axes of WGS 84. Fixed value.
+WGS84_RATIO = (6356752.314245179 / 6378137.0) ** 2
+
+
+def geocentric(lat: Column) -> Column:
+    """Latitude on a sphere of a geodetic one on WGS 84."""
+    return F.degrees(F.atan(F.tan(F.radians(lat)) * WGS84_RATIO))
+
+
+def geodetic(lat: Column) -> Column:
+    """Inverse of geocentric."""
+    return F.degrees(F.atan(F.tan(F.radians(lat)) / WGS84_RATIO))
+
+
+def perimeter(xs: Column, ys: Column) -> Column:
+    """Length of a closed ring."""
+    nx, ny = F.concat(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, 1)), F.concat(F.slice(ys, 2, F.size(ys)), F.slice(ys, 1, 1))
+    sides = F.zip_with(F.arrays_zip(xs.alias("x"), ys.alias("y")), F.arrays_zip(nx.alias("x"), ny.alias("y")), lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])))
+    return F.aggregate(sides, F.lit(0.0), lambda a, c: a + c)
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    size = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(size > 0, ((x - x1) * dx + (y - y1) * dy) / size).otherwise(0.0)))
+    ox, oy = x - x1 - t * dx, y - y1 - t * dy
+    return F.sqrt(ox * ox + oy * oy)

@@ -101,3 +101,40 @@ def of_file_name(path: Column) -> Column:
 def calendar(start: Column, end: Column, step: str = "1 HOUR") -> Column:
     """The times from start to end, both counted."""
     return F.sequence(start, end, F.expr(f"INTERVAL {step}"))
+
+
+def is_stamp(stamp: Column, pattern: str = "yyyyMMddHH", first: int = 1900, last: int = 9999) -> Column:
+    """Whether a packed integer is a time in the years given."""
+    return unpack(stamp, pattern, first, last).isNotNull()
+
+
+def month_day(yyyyddd: Column) -> tuple[Column, Column]:
+    ts = unpack(yyyyddd, "yyyyDDD")
+    return F.month(ts), F.dayofmonth(ts)
+
+
+def stepped(stamp: Column, amount: Column | int, unit: str = "HOUR", pattern: str = "yyyyMMddHH") -> Column:
+    """A packed time so many units later, or earlier for a negative amount."""
+    return pack(F.timestamp_add(unit, amount if isinstance(amount, Column) else F.lit(amount), unpack(stamp, pattern)), pattern)
+
+
+def dods_hour(seconds: Column) -> Column:
+    """yyyymmddhh of seconds since 1970, cut to the hour."""
+    return pack(F.timestamp_seconds(F.floor(seconds)))
+
+
+def fractional_hour(ts: Column) -> Column:
+    """Hour of the day with minutes and seconds as its fraction."""
+    return F.hour(ts) + F.minute(ts) / 60 + F.floor(F.second(ts)) / 3600
+
+
+def counted(ts: Column, start: Column) -> Column:
+    """Hours since a start, from 0; fractions kept."""
+    return (F.unix_micros(ts) - F.unix_micros(start)) / 3.6e9
+
+
+def labels(first: Column, steps: int, hours: int) -> Column:
+    """yyyymmddhh of so many steps: of 8760 hours the 1st of January of each year, of 744 the first of each month, else so many hours on."""
+    unit, start = ("YEAR", F.date_trunc("year", first)) if hours == 8760 else ("MONTH", F.date_trunc("month", first)) if hours == 744 else ("HOUR", first)
+    n = 1 if unit != "HOUR" else hours
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: pack(F.timestamp_add(unit, i * n, start)))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoflume.operators.joins import small
-
 #: unit, target, factor, offset: target = value * factor + offset. Fixed values.
 UNITS = (
     ("deg c", "C", 1.0, 0.0),
@@ -29,14 +27,14 @@ UNITS = (
 
 
 def convert(df: DataFrame, unit: str = "unit", value: str = "value", depth: bool = False) -> DataFrame:
-    """value and unit in their target units; unknown units stay. depth makes metres negative."""
-    table = df.sparkSession.createDataFrame(list(UNITS), "__u string, __target string, __f double, __o double")
-    out = df.join(small(table), F.lower(F.trim(unit)) == F.col("__u"), "left")
-    v = F.coalesce(F.col(value) * F.col("__f") + F.col("__o"), F.col(value))
-    target = F.coalesce("__target", unit)
+    """value and unit in their target units; unknown units stay. depth makes metres negative. The table is a map expression, so nothing is joined."""
+    known = F.create_map(*[F.lit(x) if i == 0 else F.struct(*[F.lit(y) for y in x]) for u, *rest in UNITS for i, x in enumerate((u, rest))])
+    rule = F.try_element_at(known, F.lower(F.trim(unit)))
+    v = F.coalesce(F.col(value) * rule["col2"] + rule["col3"], F.col(value))
+    target = F.coalesce(rule["col1"], F.col(unit))
     if depth:
         v = F.when(target == "m", -F.abs(v)).otherwise(v)
-    return out.withColumn(value, v).withColumn(unit, target).drop("__u", "__target", "__f", "__o")
+    return df.select(*[v.alias(c) if c == value else target.alias(c) if c == unit else F.col(f"`{c}`") for c in df.columns])
 
 
 def depth_of(kind: Column, depth: Column) -> Column:
@@ -53,6 +51,19 @@ def try_sum(a: Column, b: Column) -> Column:
     return F.when(~F.isnan(a) & ~F.isnan(b), a + b)
 
 
+def try_difference(a: Column, b: Column) -> Column:
+    return F.when(~F.isnan(a) & ~F.isnan(b), a - b)
+
+
+def try_product(a: Column, b: Column) -> Column:
+    return F.when(~F.isnan(a) & ~F.isnan(b), a * b)
+
+
+def try_quotient(a: Column, b: Column) -> Column:
+    """Quotient; null for NaN and for a divisor of 0."""
+    return F.when(~F.isnan(a) & ~F.isnan(b), F.try_divide(a, b))
+
+
 def about_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Equal within a tolerance, relative for values over 1."""
     return F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))

@@ -78,6 +78,60 @@ def scaled(value: Column, scale: float, low: float, high: float, units: str = ""
     return F.when(v.between(low, high), v)
 
 
+def in_flag_range(value: Column, flag: Column, low: float, high: float) -> Column:
+    """The value where its flag is in the range."""
+    return F.when(flag.between(low, high), value)
+
+
+def in_range_of(value: Column, variable: str) -> Column:
+    """The value where it is in the valid range of the variable, by RANGES."""
+    return F.when(value.between(*RANGES[variable]), value)
+
+
+def scored(value: Column, score: Column, least: float | None = None, uncertainty: Column | None = None, most: float | None = None) -> Column:
+    """The value where its classification score is at least, and its uncertainty at most, so much; a missing uncertainty passes none."""
+    out = value if least is None else F.when(score >= least, value)
+    return out if uncertainty is None or most is None else F.when(uncertainty.between(0.0, most), out)
+
+
+def corners_in_box(lons: list[Column], lats: list[Column], box: tuple[float, float, float, float]) -> Column:
+    """Whether the box of a cell's corners shares a point with the box."""
+    west, south, east, north = box
+    return (F.least(*lons) <= east) & (F.greatest(*lons) >= west) & (F.least(*lats) <= north) & (F.greatest(*lats) >= south)
+
+
+def levels_between(profiles: DataFrame, elevations: str, values: str, low: float, high: float) -> DataFrame:
+    """A row for each level of a profile whose elevation is in the range and whose value isn't missing: level (from 0), elevation, value in place of the arrays."""
+    rest = [c for c in profiles.columns if c not in (elevations, values)]
+    rows = profiles.select(*rest, F.posexplode(F.arrays_zip(F.col(elevations).alias("elevation"), F.col(values).alias("value"))).alias("level", "__l"))
+    return rows.select(*rest, "level", "__l.elevation", "__l.value").filter(F.col("elevation").between(low, high) & F.col("value").isNotNull())
+
+
+def at_times(text: Column, wanted: str) -> Column:
+    """ISO times equal to one of 20 characters, or between two of them joined by a slash."""
+    first, _, last = wanted.partition("/")
+    return text.between(first, last) if last else text == first
+
+
+def released(version: Column, day: Column, least: str, days: tuple[int, ...] = (), ranges: tuple[tuple[int, int], ...] = ()) -> Column:
+    """Files of a version from ``least`` on, or of a listed day, or of a day in a listed range."""
+    out = (version >= least) | day.isin(*days)
+    for low, high in ranges:
+        out = out | day.between(low, high)
+    return out
+
+
+def of_analyte(df: DataFrame, analyte: str, column: str = "analyte", value: str = "value") -> DataFrame:
+    """Rows of one analyte that aren't negative."""
+    return df.filter((F.col(column) == analyte) & (F.col(value) >= 0))
+
+
+def in_named_box(df: DataFrame, box: tuple[float, float, float, float], lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """Rows in the box, by the first columns whose names hold the texts, in either case."""
+    find = lambda text: F.col("`" + next(c for c in df.columns if text in c.lower()) + "`")
+    return df.filter(in_box(find(lon).cast("double"), find(lat).cast("double"), box))
+
+
 def decoded(encoded: Column, offset: float, scale: float, low: float, high: float) -> Column:
     """(encoded - offset) * scale where the encoded value is in the range; a range with low > high is none."""
     v = (encoded.cast("double") - offset) * scale

@@ -23,16 +23,82 @@ def intervals_overlap(start: Column, end: Column, q1: Column, q2: Column) -> Col
 
 
 def overlapping(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs whose intervals lo..hi (left) and start..end (right) overlap, by bins of so many units.
+    """Pairs whose intervals lo..hi (left) and start..end (right) overlap, by bins of so many units; a null end is open.
 
     Both sides are dealt into the bins they touch; a pair is kept in the first
-    bin that it shares, so it appears once and there is no theta join.
+    bin that it shares, so it appears once and there is no theta join. Open ends
+    are dealt up to the outermost known ends of either side.
     """
-    cut = lambda c: F.floor(c / width).cast("long")
-    a = left.withColumn("__bin", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi")))))
-    b = right.withColumn("__bin", F.explode(F.sequence(cut(F.col("start")), cut(F.col("end")))))
-    out = a.join(b, "__bin").filter("lo <= end and hi >= start")
-    return out.filter(F.col("__bin") == F.greatest(cut(F.col("lo")), cut(F.col("start")))).drop("__bin")
+    known = [df.agg(F.min(a), F.min(b), F.max(a), F.max(b)).first() for df, a, b in ((left, "lo", "hi"), (right, "start", "end"))]
+    ends = [x for r in known for x in r if x is not None]
+    first, last = (min(ends), max(ends)) if ends else (0, 0)
+    bins = lambda a, b: (F.floor(F.coalesce(F.col(a), F.lit(first)) / width).cast("long"), F.floor(F.coalesce(F.col(b), F.lit(last)) / width).cast("long"))
+    a0, a1 = bins("lo", "hi")
+    b0, b1 = bins("start", "end")
+    a = left.withColumn("__a", a0).withColumn("__bin", F.explode(F.when(a0 <= a1, F.sequence(a0, a1))))
+    b = right.withColumn("__b", b0).withColumn("__bin", F.explode(F.when(b0 <= b1, F.sequence(b0, b1))))
+    out = a.join(b, "__bin").filter(intervals_overlap(F.col("lo"), F.col("hi"), F.coalesce("start", F.lit(first)), F.coalesce("end", F.lit(last))))
+    out = out.filter(intervals_overlap(F.col("start"), F.col("end"), F.coalesce("lo", F.lit(first)), F.coalesce("hi", F.lit(last))))
+    return out.filter(F.col("__bin") == F.greatest("__a", "__b")).drop("__bin", "__a", "__b")
+
+
+def boxes_overlapping(left: DataFrame, right: DataFrame, step: float) -> DataFrame:
+    """Pairs of rows whose boxes (west, south, east, north; r_west and so on at the right) share a point.
+
+    Boxes are dealt into the cells of a grid of ``step`` that they touch, and a
+    pair is kept in the first cell, by column and row, that it shares.
+    """
+
+    def dealt(df: DataFrame, p: str, to: str) -> DataFrame:
+        cut = lambda c: F.floor(F.col(p + c) / step).cast("long")
+        df = df.withColumn(f"__{to}x", cut("west")).withColumn(f"__{to}y", cut("south"))
+        return df.withColumn("__x", F.explode(F.sequence(f"__{to}x", cut("east")))).withColumn("__y", F.explode(F.sequence(f"__{to}y", cut("north"))))
+
+    out = dealt(left, "", "a").join(dealt(right, "r_", "b"), ["__x", "__y"])
+    out = out.filter("west <= r_east and east >= r_west and south <= r_north and north >= r_south")
+    return out.filter("__x = greatest(__ax, __bx) and __y = greatest(__ay, __by)").drop("__x", "__y", "__ax", "__ay", "__bx", "__by")
+
+
+def with_side(values: DataFrame, side: DataFrame, index: list[str]) -> DataFrame:
+    """Values with the columns of another variable of the same pixels, by pixel index; null where it has none."""
+    return values.join(side, index, "left")
+
+
+def with_vector(pixels: DataFrame, vector: DataFrame, on: str) -> DataFrame:
+    """Pixels with what a vector has for their column, level or time; the vector is broadcast if it is short."""
+    return pixels.join(small(vector), on, "left")
+
+
+def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """left with the first row, by order, that right has for its keys; rows without one go."""
+    rest = [c for c in right.columns if c not in keys]
+    first = right.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
+    return left.join(first, keys)
+
+
+def components(u: DataFrame, v: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, u, v, speed and the direction the wind comes from, in degrees, of two components of a cell and time."""
+    both = u.withColumnRenamed("value", "u").join(v.withColumnRenamed("value", "v"), keys)
+    return both.withColumn("speed", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn("from_degrees", F.pmod(F.degrees(F.atan2(-F.col("u"), -F.col("v"))) + 360, F.lit(360.0)))
+
+
+def zipped(columns: dict[str, DataFrame], by: str = "path", order: str = "line") -> DataFrame:
+    """Columns of several files beside one another by their place: by, order, and each frame's value under its name."""
+    out = None
+    for name, df in columns.items():
+        place = F.row_number().over(W.partitionBy(by).orderBy(order))
+        part = df.select(by, place.alias("place"), F.col("value").alias(name))
+        out = part if out is None else out.join(part, [by, "place"])
+    return out
+
+
+def named(code: Column, names: dict[int, str]) -> Column:
+    """The name of a code; null for an unknown one. The names become an expression, so nothing is joined."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code.cast("int"))
+
+
+#: Classes of smoke density. Fixed values.
+SMOKE = {5: "light", 16: "medium", 27: "dense"}
 
 
 def nearest_per(df: DataFrame, by: list[str], distance: Column, order: list[str]) -> DataFrame:
@@ -105,16 +171,21 @@ def _crosses(i: Column, n: Column) -> Column:
     return ((yi > F.col("lat")) != (yj > F.col("lat"))) & (F.col("lon") < x)
 
 
-def nearest_feature(points: DataFrame, features: DataFrame, reach: float) -> DataFrame:
-    """Each point with the nearest feature (fid, flon, flat) within reach degrees, by a grid of that step and its neighbours."""
+def nearest_feature(points: DataFrame, features: DataFrame, reach: float, how: str = "inner") -> DataFrame:
+    """Each point with the nearest feature (fid, flon, flat) within reach degrees, by a grid of that step and its neighbours.
+
+    how: "inner", or "left" to keep points that have none. The nearest is found once a place, however many points stand there.
+    """
     cut = lambda c: F.floor(c / reach).cast("long")
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     spread = features.select("*", F.explode(around).alias("__dx")).select("*", F.explode(around).alias("__dy"))
     spread = spread.withColumn("__x", cut(F.col("flon")) + F.col("__dx")).withColumn("__y", cut(F.col("flat")) + F.col("__dy")).drop("__dx", "__dy")
-    both = points.withColumn("__x", cut(F.col("lon"))).withColumn("__y", cut(F.col("lat"))).join(spread, ["__x", "__y"])
+    places = points.select("lon", "lat").distinct()
+    both = places.withColumn("__x", cut(F.col("lon"))).withColumn("__y", cut(F.col("lat"))).join(spread, ["__x", "__y"])
     d = F.sqrt(F.pow(F.col("lon") - F.col("flon"), 2) + F.pow(F.col("lat") - F.col("flat"), 2))
     both = both.withColumn("distance", d).filter(F.col("distance") <= reach)
-    return both.groupBy(*points.columns).agg(F.min(F.struct("distance", "fid")).alias("__m")).select(*points.columns, "__m.fid", "__m.distance")
+    best = both.groupBy("lon", "lat").agg(F.min(F.struct("distance", "fid")).alias("__m"))
+    return points.join(best, ["lon", "lat"], how).select(*points.columns, "__m.fid", "__m.distance")
 
 
 def elevation_at(points: DataFrame, raster: DataFrame, step: float) -> DataFrame:

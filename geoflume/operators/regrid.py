@@ -77,11 +77,8 @@ def quads_to_cells(quads: DataFrame, grid: Grid) -> DataFrame:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.stack([b[f"{a}{i}"].to_numpy(zero_copy_only=False) for i in range(1, 5)], 1).astype(float) if len(b) else np.zeros((0, 4)) for a in "xy")
-            whole = np.abs(_areas(x, y))
-            left, low = (b[c].to_numpy(zero_copy_only=False)[:, None] * d + o for c, d, o in (("col", dx, west), ("row", dy, south)))
-            for axis, bound, sign in ((0, left, 1), (0, left + dx, -1), (1, low, 1), (1, low + dy, -1)):
-                x, y = _clip(x, y, axis, bound, sign)
-            share = np.abs(np.nan_to_num(_areas(x, y))) / np.where(whole > 0, whole, np.inf)
+            left, low = (b[c].to_numpy(zero_copy_only=False) * d + o for c, d, o in (("col", dx, west), ("row", dy, south)))
+            share = _shares(x, y, left, low, dx, dy)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.float64())], names=[*b.schema.names, "share"])
 
     schema = T.StructType([*out.schema.fields, T.StructField("share", T.DoubleType())])
@@ -115,10 +112,67 @@ def _clip(x: np.ndarray, y: np.ndarray, axis: int, bound: np.ndarray, sign: int)
     return both[0], both[1]
 
 
+#: Quads that a task merges at a time, and (quad, cell) pairs that it clips at a time.
+MERGED, CLIPPED = 200_000, 500_000
+
+
 def regrid_quads(quads: DataFrame, grid: Grid, by: list[str], value: str = "value") -> DataFrame:
-    """by, row, col, value (mean weighted by share of area), weight, n."""
-    parts = quads_to_cells(quads.filter(F.col(value).isNotNull()), grid)
-    return parts.groupBy(*by, "row", "col").agg((F.sum(F.col(value) * F.col("share")) / F.sum("share")).alias(value), F.sum("share").alias("weight"), F.count("*").alias("n"))
+    """by, row, col, value (mean weighted by share of area), weight, n.
+
+    quads as for quads_to_cells. Only the keys, corners and values go through
+    Arrow, a row a quad; equal quads of a task are merged before they are clipped, and
+    Spark adds up what tasks find for a cell.
+    """
+    names = [f"{a}{i}" for i in range(1, 5) for a in "xy"]
+
+    def clipped(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.group_by([*by, *names]).aggregate([("__v", "sum"), ("__v", "count")])
+        x, y = (np.stack([t[f"{a}{i}"].to_numpy() for i in range(1, 5)], 1) for a in "xy")
+        ends = []
+        for v, o, d, n in ((x, grid.west, grid.dx, grid.cols), (y, grid.south, grid.dy, grid.rows)):
+            ends.append(np.clip(np.floor((v.min(1) - o) / d), 0, n).astype(np.int64))
+            ends.append(np.clip(np.floor((v.max(1) - o) / d), -1, n - 1).astype(np.int64))
+        wide, high = np.maximum(ends[1] - ends[0] + 1, 0), np.maximum(ends[3] - ends[2] + 1, 0)
+        upto = np.cumsum(wide * high)
+        at = 0
+        while at < len(upto):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CLIPPED, "right")))
+            size = (wide * high)[at:end]
+            q = np.repeat(np.arange(at, at + len(size)), size)
+            k = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)
+            col, row = ends[0][q] + k % np.maximum(wide[q], 1), ends[2][q] + k // np.maximum(wide[q], 1)
+            share = _shares(x[q], y[q], col * grid.dx + grid.west, row * grid.dy + grid.south, grid.dx, grid.dy)
+            use = np.flatnonzero(share > 0)
+            q, row, col, share = q[use], row[use], col[use], share[use]
+            total, n = t["__v_sum"].to_numpy()[q], t["__v_count"].to_numpy()[q]
+            keys = [t[c].combine_chunks().take(pa.array(q)) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(total * share), pa.array(n * share), pa.array(n, pa.int64())], names=[*by, "row", "col", "__vs", "__s", "__n"])
+            at = end
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= MERGED:
+                yield from clipped(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from clipped(pa.Table.from_batches(held))
+
+    rows = quads.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.col(value).cast("double").alias("__v")).filter("__v is not null").dropna(subset=names)
+    kinds = [("row", T.IntegerType()), ("col", T.IntegerType()), ("__vs", T.DoubleType()), ("__s", T.DoubleType()), ("__n", T.LongType())]
+    out = rows.mapInArrow(parts, T.StructType([*[rows.schema[c] for c in by], *[T.StructField(n, k) for n, k in kinds]]))
+    return out.groupBy(*by, "row", "col").agg((F.sum("__vs") / F.sum("__s")).alias(value), F.sum("__s").alias("weight"), F.sum("__n").alias("n"))
+
+
+def _shares(x: np.ndarray, y: np.ndarray, left: np.ndarray, low: np.ndarray, dx: float, dy: float) -> np.ndarray:
+    """Share of each ring's area that lies in its cell."""
+    whole = np.abs(_areas(x, y))
+    left, low = left[:, None], low[:, None]
+    for axis, bound, sign in ((0, left, 1), (0, left + dx, -1), (1, low, 1), (1, low + dy, -1)):
+        x, y = _clip(x, y, axis, bound, sign)
+    return np.abs(np.nan_to_num(_areas(x, y))) / np.where(whole > 0, whole, np.inf)
 
 
 def corners(centres: DataFrame, by: list[str]) -> DataFrame:
@@ -163,3 +217,12 @@ def first_of_run(df: DataFrame, column: str, by: list[str], order: list[str]) ->
     before = F.lag(column).over(W.partitionBy(*by).orderBy(*order))
     n = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("__new", (n == 1) | ~F.col(column).eqNullSafe(before)).filter("__new").drop("__new")
+
+
+def running_total(rows: DataFrame, key: str, n: str, width: int, name: str = "total") -> DataFrame:
+    """rows with the sum of n up to their key, which is a different whole number in each: summed by bins of so many keys first, so no task has all rows."""
+    rows = rows.withColumn("__bin", F.floor(F.col(key) / width).cast("long"))
+    before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)  # one row a bin
+    bins = rows.groupBy("__bin").agg(F.sum(n).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = F.sum(n).over(W.partitionBy("__bin").orderBy(key))
+    return rows.join(bins, "__bin").withColumn(name, F.col("__before") + inside).drop("__bin", "__before")

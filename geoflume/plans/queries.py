@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,26 +13,15 @@ from geoflume.functions.projection import Albers, Lambert, Mercator, Stereograph
 from geoflume.operators import filters as FL
 from geoflume.operators import joins as J
 from geoflume.operators import regrid as R
+from geoflume.plans import relations, scalars  # noqa: F401 - they register queries of their own
 from geoflume.plans.points import LAMBERT, ONE_DEGREE, POINTS_SQL, points, table
+from geoflume.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 BOX = (-110.0, 28.0, -80.0, 45.0)
 _HOUR_SQL = "strftime(ts, '%Y%m%d%H')::BIGINT"
 _DAY_SQL = "strftime(ts, '%Y%m%d')::BIGINT"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLE[key] = f"WITH {POINTS_SQL}\n{sql}" if "points" in sql and not sql.lstrip().startswith("WITH") else sql
-        return f
-
-    return add
-
-
 def hour(ts="ts"):
     return T.pack(F.col(ts)).alias("hour")
 
@@ -309,7 +295,7 @@ def note_concat(spark, d):
 @query("""WITH c AS (SELECT station, count(*) AS n FROM points GROUP BY station) SELECT station, n, sum(n) OVER (ORDER BY station)::BIGINT AS total FROM c""".replace("WITH c", f"WITH {POINTS_SQL}, c"))
 def running_total(spark, d):
     c = points(spark, d).groupBy("station").agg(F.count("*").alias("n"))  # one row a station
-    return c.withColumn("total", F.sum("n").over(W.orderBy("station")))
+    return R.running_total(c, "station", "n", 1000)
 
 
 @query("""SELECT o_custkey, arg_max(p, (n, p)) AS version FROM (SELECT o_custkey, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey""")

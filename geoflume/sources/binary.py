@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOTE = 80
+#: Points of a stream, some 64 MB.
+PIECE = 500_000
 COLUMNS = ("stamp", "lon", "lat", "elevation", "id", "value")
 SCHEMA = "path string, note string, stamp double, lon double, lat double, elevation double, id double, value double"
 
@@ -54,14 +56,21 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def point_streams(points: DataFrame, variable: str, units: str, start: str) -> DataFrame:
-    """part, content: a stream of each partition's points (note and the columns of a stream), for a binary sink."""
+    """part, content: streams of at most PIECE points of each partition (note and the columns of a stream), for a binary sink. part is the first point's id."""
+
+    def stream(t: pa.Table) -> pa.RecordBatch:
+        content = encode({c: t[c].to_numpy() for c in COLUMNS}, t["note"].to_pylist(), variable, units, start)
+        return pa.RecordBatch.from_arrays([pa.array([int(t["id"][0].as_py())], pa.int64()), pa.array([content], pa.binary())], names=["part", "content"])
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if held:
-            t = pa.Table.from_batches(held)
-            content = encode({c: t[c].to_numpy() for c in COLUMNS}, t["note"].to_pylist(), variable, units, start)
-            yield pa.RecordBatch.from_arrays([pa.array([int(t["id"][0].as_py())], pa.int64()), pa.array([content], pa.binary())], names=["part", "content"])
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            while len(held) >= PIECE:
+                yield stream(held.slice(0, PIECE))
+                held = held.slice(PIECE)
+        if held is not None and len(held):
+            yield stream(held)
 
     rows = points.select(F.coalesce("note", F.lit("")).alias("note"), *[F.col(c).cast("double").alias(c) for c in COLUMNS])
     return rows.sortWithinPartitions("stamp", "id").mapInArrow(streams, "part long, content binary")
