@@ -39,7 +39,7 @@ import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import NULL_ID, chunks, cut, id_back, keyed, mix, rolling, slice_hash, table, tag_of, word_spans
+from geoflume.llm._common import chunks, cut, free, id_back, id_of, keyed, mix, rolling, slice_hash, table, tag_of, word_spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 BRANCH, DEPTH, SMALL, BLOCK = 1.5, 3, 4096, 1024
@@ -353,12 +353,12 @@ def jaccard_join(documents: DataFrame, **options) -> DataFrame:
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that are the first of their class; of repeated rows one stays."""
-    first = similar(documents, **options).filter("id = class_id and tag = class_tag").select(F.col("id").alias("__i"), F.col("tag").alias("__t")).distinct()
+    i, t, id, tag, more = free(documents.columns, "i", "t", "id", "tag", "more")
+    first = similar(documents, **options).filter("id = class_id and tag = class_tag").select(F.col("id").alias(i), F.col("tag").alias(t)).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__tag", tag_of(text))
-    rows = rows.join(first, (F.col("__id") == F.col("__i")) & (F.col("__tag") == F.col("__t")), "left_semi")
-    rows = rows.withColumn("__more", F.xxhash64(F.lit(1), text))  # 128 bits, as rows go by them
-    return rows.dropDuplicates(["__id", "__tag", "__more"]).drop("__id", "__tag", "__more")
+    rows = documents.select("*", id_of(F.col("doc_id")).alias(id), tag_of(text).alias(tag), F.xxhash64(F.lit(1), text).alias(more))  # 128 bits, as rows go by them
+    rows = rows.join(first, (F.col(id) == F.col(i)) & (F.col(tag) == F.col(t)), "left_semi")
+    return rows.dropDuplicates([id, tag, more]).drop(id, tag, more)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

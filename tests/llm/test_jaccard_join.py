@@ -107,3 +107,15 @@ def test_components(spark):
 
 def test_runs():
     assert J.runs_for(0.9) < J.runs_for(0.999) == 11
+
+
+def test_clashing_columns_and_very_long_texts(make_docs):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(40000))
+    df = make_docs((1, long), (2, long + " tail"), (3, "x " * 100000), (None, "a b c"), (None, "a b c"))
+    for name in ("__id", "__tag", "__i", "id", "tag", "i", "t", "more", "rep", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    out = J.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r["tag"], r["a.b"]) for r in out.collect()) == [("1", "tag", "a.b"), ("3", "tag", "a.b"), ("None", "tag", "a.b")]
