@@ -45,14 +45,20 @@ def decode(data: bytes) -> tuple[list[str], np.ndarray]:
     return notes, np.frombuffer(data, ">f8", variables * points, at + points * NOTE).reshape(variables, points).astype("f8")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+def points_of(streams: DataFrame) -> DataFrame:
+    """The points of streams (path, content)."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
                 notes, data = decode(content)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(notes)), pa.array(notes, pa.string()), *[pa.array(v) for v in data]], names=["path", "note", *COLUMNS])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, SCHEMA)
+    return streams.select("path", "content").mapInArrow(rows, SCHEMA)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    return points_of(spark.read.format("binaryFile").load(path))
 
 
 def point_streams(points: DataFrame, variable: str, units: str, start: str) -> DataFrame:
