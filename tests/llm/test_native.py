@@ -24,7 +24,7 @@ ROWS = [
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_tables(spark, sf_dir, duck, name):
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").toPandas() for t in ("documents", "pages", "benchmark", "labels")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").toPandas() for t in ("documents", "pages", "benchmark", "labels", "embeddings")}
     assert sorted_rows(QUERIES[name](spark, sf_dir)) == duck(ORACLE[name], **tables)
 
 
