@@ -34,6 +34,12 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_SPACE)), _UPPER, _LOWER)
 
 
+def _joined(lines: Column, keep: Column) -> Column:
+    """The lines at the places kept. The array of lines is bound once: named inside the inner lambda, the text would be split anew for every line."""
+    parts = F.transform(F.array(lines), lambda every: F.transform(keep, lambda i: F.get(every, i)))
+    return F.array_join(F.element_at(parts, 1), "\n")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, tag, at: positions of the lines that go (docs as from keyed())."""
     keys = docs.select("id", "tag", F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
@@ -48,7 +54,7 @@ def _with_kept(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     out = docs.join(dropped_lines(docs, min_chars, min_docs), ["id", "tag"], "left")
     out = out.withColumn("keep", F.when(F.col("at").isNotNull(), F.array_except(every, F.col("at"))))
-    kept = F.when(F.col("keep").isNull(), F.col("text")).otherwise(F.array_join(F.transform("keep", lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col("keep").isNull(), F.col("text")).otherwise(_joined(lines, F.col("keep")))
     n = F.size(lines)
     return out.select("id", "tag", n.cast("long").alias("n_lines"), F.when(F.col("keep").isNull(), 0).otherwise(n - F.size("keep")).cast("long").alias("n_dropped"), kept.alias("kept"))
 
@@ -67,7 +73,7 @@ def without_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min
     rows = rows.join(gone, (F.col(i) == F.col(id)) & (F.col(t) == F.col(tag)), "left")
     lines = _lines(F.col("text"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
-    kept = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col(at).isNull(), F.col("text")).otherwise(_joined(lines, keep))
     out = rows.withColumn("text", kept)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))

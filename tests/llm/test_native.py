@@ -82,6 +82,18 @@ def test_very_long_lines_and_clashing_columns(make_docs):
     assert all(rows[1][c] == c for c in df.columns[5:])
 
 
+def test_many_lines_in_linear_time(make_docs):
+    import time
+
+    n = 200_000
+    df = make_docs((1, f"{LINE}\n" + "c\n" * n), (2, LINE), (3, LINE))
+    L.line_dedup(make_docs((1, LINE))).collect()
+    for run in (lambda: {r.doc_id: r.kept for r in L.line_dedup(df).collect()}, lambda: {r.doc_id: r.text for r in L.without_repeated_lines(df).collect()}):
+        began = time.time()
+        assert run() == {1: "c\n" * n, 2: "", 3: LINE}
+        assert time.time() - began < 10
+
+
 def test_mixing_repeated_rows_and_clashes(spark, make_docs):
     """Copies share what is taken of them, the source's target is met but for less than a word a copy, and bins don't matter."""
     from pyspark.sql import functions as F
