@@ -22,41 +22,102 @@ def intervals_overlap(start: Column, end: Column, q1: Column, q2: Column) -> Col
     return (start.isNull() | (start <= q2)) & (end.isNull() | (end >= q1))
 
 
-def overlapping(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs whose intervals lo..hi (left) and start..end (right) overlap, by bins of so many units; a null end is open.
+#: The level of intervals without an end, above all others.
+ROOT = 62
+
+
+def _level(length: Column) -> Column:
+    """The lowest level whose nodes, 2^level units wide, are no shorter than the length (in units, whole): at most two of them touch the interval."""
+    up = F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int")
+    return F.least(F.lit(ROOT - 1), F.greatest(F.lit(0), up))
+
+
+def _levels(*sides: DataFrame) -> list[list[int]]:
+    """The levels in use on each side, by one job; at most 63 a side."""
+    tagged = [df.select(F.lit(k).alias("side"), "__level") for k, df in enumerate(sides)]
+    both = tagged[0].unionByName(tagged[1]) if len(tagged) > 1 else tagged[0]
+    found = both.groupBy("side").agg(F.collect_set("__level").alias("levels")).collect()
+    return [next((sorted(r.levels) for r in found if r.side == k), []) for k in range(len(sides))]
+
+
+def _up(levels: list[int]) -> Column:
+    """A row's own level and those of the other side above it."""
+    above = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x > F.col("__level"))
+    return F.concat(F.array("__level"), above)
+
 
-    Both sides are dealt into the bins they touch; a pair is kept in the first
-    bin that it shares, so it appears once and there is no theta join. Open ends
-    are dealt up to the outermost known ends of either side.
+def _node(x: Column, level: Column) -> Column:
+    """The node of a place at a level; the root has one."""
+    return F.when(level >= ROOT, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", x, level))
+
+
+def overlapping(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """Pairs whose intervals lo..hi (left) and start..end (right) overlap; a null end is open. Both sides in whole units, of which ``width`` make up the finest node.
+
+    Dyadic levels: an interval belongs to the level whose nodes are just no shorter
+    than it, and to the one or two nodes there that it touches; one without an end
+    to the root. Each is also dealt to the nodes that it touches at the levels above
+    that the other side uses, so it has at most two rows a level, however long it is.
+    A pair meets at the higher of its two levels, in the node that holds the later
+    of the two starts: once. There is no theta join, and no range to be found first.
     """
-    known = [df.agg(F.min(a), F.min(b), F.max(a), F.max(b)).first() for df, a, b in ((left, "lo", "hi"), (right, "start", "end"))]
-    ends = [x for r in known for x in r if x is not None]
-    first, last = (min(ends), max(ends)) if ends else (0, 0)
-    bins = lambda a, b: (F.floor(F.coalesce(F.col(a), F.lit(first)) / width).cast("long"), F.floor(F.coalesce(F.col(b), F.lit(last)) / width).cast("long"))
-    a0, a1 = bins("lo", "hi")
-    b0, b1 = bins("start", "end")
-    a = left.withColumn("__a", a0).withColumn("__bin", F.explode(F.when(a0 <= a1, F.sequence(a0, a1))))
-    b = right.withColumn("__b", b0).withColumn("__bin", F.explode(F.when(b0 <= b1, F.sequence(b0, b1))))
-    out = a.join(b, "__bin").filter(intervals_overlap(F.col("lo"), F.col("hi"), F.coalesce("start", F.lit(first)), F.coalesce("end", F.lit(last))))
-    out = out.filter(intervals_overlap(F.col("start"), F.col("end"), F.coalesce("lo", F.lit(first)), F.coalesce("hi", F.lit(last))))
-    return out.filter(F.col("__bin") == F.greatest("__a", "__b")).drop("__bin", "__a", "__b")
+
+    def dealt(df: DataFrame, a: str, b: str) -> DataFrame:
+        open_ = F.col(a).isNull() | F.col(b).isNull()
+        low, high = (F.floor(F.col(c) / width).cast("long") for c in (a, b))
+        df = df.filter(open_ | (F.col(a) <= F.col(b)))
+        return df.withColumn("__low", low).withColumn("__high", high).withColumn("__level", F.when(open_, F.lit(ROOT)).otherwise(_level(high - low + 1)))
+
+    a, b = dealt(left, "lo", "hi"), dealt(right, "start", "end")
+    la, lb = _levels(a, b)
+
+    def spread(df: DataFrame, levels: list[int], side: str) -> DataFrame:
+        df = df.withColumn("__at", F.explode(_up(levels)))
+        nodes = F.sequence(_node(F.coalesce("__low", F.lit(0)), F.col("__at")), _node(F.coalesce("__high", F.lit(0)), F.col("__at")))
+        return df.withColumn("__node", F.explode(nodes)).withColumnsRenamed({"__low": f"__low_{side}", "__level": f"__level_{side}"}).drop("__high")
+
+    out = spread(a, lb, "a").join(spread(b, la, "b"), ["__at", "__node"])
+    out = out.filter(F.col("__at") == F.greatest("__level_a", "__level_b"))
+    out = out.filter((F.col("__at") == ROOT) | (F.col("__node") == _node(F.greatest("__low_a", "__low_b"), F.col("__at"))))
+    later, earlier = F.greatest("lo", "start"), F.least("hi", "end")  # nulls count as open
+    return out.filter(later.isNull() | earlier.isNull() | (later <= earlier)).drop("__at", "__node", "__low_a", "__low_b", "__level_a", "__level_b")
 
 
 def boxes_overlapping(left: DataFrame, right: DataFrame, step: float) -> DataFrame:
     """Pairs of rows whose boxes (west, south, east, north; r_west and so on at the right) share a point.
 
-    Boxes are dealt into the cells of a grid of ``step`` that they touch, and a
-    pair is kept in the first cell, by column and row, that it shares.
+    A quadtree of cells of ``step`` degrees and their doublings: a box belongs to the
+    level whose cells are no smaller than it, where it touches four at most, and is
+    dealt to those of the levels above that the other side uses. A pair meets at the
+    higher of its levels, in the cell of the greater west and south: once. A box with
+    west > east crosses the date line and goes through as its two parts; the pair is
+    kept with the first parts that overlap. Boxes with a null bound or south > north
+    meet none.
     """
 
-    def dealt(df: DataFrame, p: str, to: str) -> DataFrame:
-        cut = lambda c: F.floor(F.col(p + c) / step).cast("long")
-        df = df.withColumn(f"__{to}x", cut("west")).withColumn(f"__{to}y", cut("south"))
-        return df.withColumn("__x", F.explode(F.sequence(f"__{to}x", cut("east")))).withColumn("__y", F.explode(F.sequence(f"__{to}y", cut("north"))))
-
-    out = dealt(left, "", "a").join(dealt(right, "r_", "b"), ["__x", "__y"])
-    out = out.filter("west <= r_east and east >= r_west and south <= r_north and north >= r_south")
-    return out.filter("__x = greatest(__ax, __bx) and __y = greatest(__ay, __by)").drop("__x", "__y", "__ax", "__ay", "__bx", "__by")
+    def parts(df: DataFrame, p: str, side: str) -> DataFrame:
+        west, east = F.col(f"{p}west"), F.col(f"{p}east")
+        whole, halves = F.array(F.struct(west.alias("w"), east.alias("e"))), F.array(F.struct(west.alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), east.alias("e")))
+        df = df.filter(f"{p}south <= {p}north and {p}west is not null and {p}east is not null").select("*", F.posexplode(F.when(west <= east, whole).otherwise(halves)).alias(f"__k{side}", "__part"))
+        cut = lambda c: F.floor(c / step).cast("long")
+        df = df.withColumns({"__w": F.col("__part.w").cast("double"), "__e": F.col("__part.e").cast("double")}).drop("__part")
+        df = df.withColumns({"__x0": cut(F.col("__w")), "__x1": cut(F.col("__e")), "__y0": cut(F.col(f"{p}south")), "__y1": cut(F.col(f"{p}north"))})
+        return df.withColumn("__level", _level(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) + 1))
+
+    a, b = parts(left, "", "a"), parts(right, "r_", "b")
+    la, lb = _levels(a, b)
+
+    def spread(df: DataFrame, levels: list[int], side: str) -> DataFrame:
+        df = df.withColumn("__at", F.explode(_up(levels)))
+        for c in "xy":
+            df = df.withColumn(f"__{c}", F.explode(F.sequence(_node(F.col(f"__{c}0"), F.col("__at")), _node(F.col(f"__{c}1"), F.col("__at")))))
+        return df.drop("__x1", "__y1").withColumnsRenamed({c: f"{c}{side}" for c in ("__w", "__e", "__x0", "__y0", "__level")})
+
+    out = spread(a, lb, "a").join(spread(b, la, "b"), ["__at", "__x", "__y"])
+    out = out.filter("__at = greatest(__levela, __levelb)").filter((F.col("__x") == _node(F.greatest("__x0a", "__x0b"), F.col("__at"))) & (F.col("__y") == _node(F.greatest("__y0a", "__y0b"), F.col("__at"))))
+    out = out.filter("__wa <= __eb and __ea >= __wb and south <= r_north and north >= r_south")
+    first = "(west > east and r_west > r_east and (__ka > 0 or __kb > 0)) or (__ka = 1 and r_west <= r_east and r_east >= west) or (__kb = 1 and west <= east and east >= r_west)"
+    return out.filter(f"not ({first})").drop("__at", "__x", "__y", "__ka", "__kb", *[f"{c}{s}" for c in ("__w", "__e", "__x0", "__y0", "__level") for s in "ab"])
 
 
 def with_side(values: DataFrame, side: DataFrame, index: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoflume.functions import grid as G
 from geoflume.functions import timecodes as T
+from geoflume.operators import exact as E
 from geoflume.operators import filters as FL
 from geoflume.operators import joins as J
 from geoflume.operators import regrid as R
@@ -264,12 +265,19 @@ def column_ranges(spark, d):
     return long.groupBy("name").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
 
 
-@query("""SELECT o_orderkey, rank() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(o_orderkey::VARCHAR, 12, '0')) AS place FROM orders QUALIFY place <= 200""")
+@query("""SELECT o_orderkey, rank() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(o_orderkey::VARCHAR, 12, '0')) AS place FROM orders""")
 def rows_in_text_order(spark, d):
-    """The first rows in the order of their text, ISO time first: a top-k, so no sort of the whole table."""
+    """All rows in the order of their text, ISO time first, with their places."""
     key = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
-    top = table(spark, d, "orders").select("o_orderkey", key.alias("line")).orderBy("line").limit(200)
-    return top.select("o_orderkey", F.rank().over(W.orderBy("line")).cast("long").alias("place"))
+    return E.placed(table(spark, d, "orders").select("o_orderkey", key.alias("line")), [F.col("line")]).select("o_orderkey", "place")
+
+
+@query("""WITH t AS (SELECT user_id AS station, sum(CAST(value * 1180591620717411303424::DOUBLE AS HUGEINT)) AS h FROM events GROUP BY 1),
+cut AS (SELECT station, h::HUGEINT AS h, CAST(pow(2::DOUBLE, greatest(floor(log2(h::DOUBLE)) - 52, 0)) AS HUGEINT) AS p FROM t)
+SELECT station, (h // p + CASE WHEN 2 * (h % p) > p OR (2 * (h % p) = p AND (h // p) % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE * p::DOUBLE / 1180591620717411303424::DOUBLE AS total FROM cut""")
+def exact_double_sum(spark, d):
+    """Sums of doubles with one rounding: the same bits however the rows are dealt."""
+    return E.exact_sum(table(spark, d, "events").withColumnRenamed("user_id", "station").repartition(13), ["station"], "value")
 
 
 @query("""SELECT path, field, row_number() OVER (PARTITION BY nation ORDER BY field, path) AS place FROM (

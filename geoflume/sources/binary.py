@@ -23,9 +23,9 @@ COLUMNS = ("stamp", "lon", "lat", "elevation", "id", "value")
 SCHEMA = "path string, note string, stamp double, lon double, lat double, elevation double, id double, value double"
 
 
-def encode(rows: dict[str, np.ndarray], notes: list[str], variable: str, units: str, start: str) -> bytes:
+def encode(rows: dict[str, np.ndarray], notes: list[str], variable: str, units: str, start: str, origin: str = "geoflume") -> bytes:
     """One point stream."""
-    head = ["Point 1.0", "geoflume", start, "# Dimensions: variables points", f"{len(COLUMNS)} {len(notes)}", "# Variable names:", f"timestamp longitude latitude elevation id {variable}", "# Variable units:", f"yyyymmddhhmmss deg deg m - {units}", "# char notes[points][80] and IEEE-754 64-bit reals data[variables][points]:"]
+    head = ["Point 1.0", origin, start, "# Dimensions: variables points", f"{len(COLUMNS)} {len(notes)}", "# Variable names:", f"timestamp longitude latitude elevation id {variable}", "# Variable units:", f"yyyymmddhhmmss deg deg m - {units}", "# char notes[points][80] and IEEE-754 64-bit reals data[variables][points]:"]
     body = b"".join(n.encode("ascii", "replace")[: NOTE - 1].ljust(NOTE) for n in notes)
     return ("\n".join(head) + "\n").encode() + body + b"".join(np.asarray(rows[c], ">f8").tobytes() for c in COLUMNS)
 

@@ -1,15 +1,10 @@
-"""Structured Streaming: closed hours and days, latest snapshots, and event detection."""
+"""Structured Streaming: closed hours and days, and latest snapshots. Events: streaming.detect."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sensor_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,48 +35,3 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> St
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-
-
-EVENT = "sensor long, ts timestamp, value double, outlier boolean, event boolean"
-_STATE = "history array<double>, recent array<boolean>, last timestamp"
-
-
-def events(stream: DataFrame, history: int = 432, outlier: float = 3.0, recent: int = 6, event: float = 0.5, timeout: str = "2 days") -> DataFrame:
-    """Each reading with whether it is an outlier, and whether outliers make up an event.
-
-    An outlier is more than so many standard deviations from the mean of the last
-    ``history`` readings that aren't; an event is a share of outliers of at least
-    ``event`` in the last ``recent``. A sensor that was silent for ``timeout`` starts anew.
-    Its state, of at most ``history`` numbers, stays: a sensor's readings may come late
-    by any time, so there is no watermark to free it by.
-    """
-    wait = pd.Timedelta(timeout)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, flags, last = state.get if state.exists else ([], [], None)
-        old, flags = deque(old), list(flags)
-        base = old[0] if old else None  # sums of what exceeds it keep their digits
-        total, squares = sum(x - base for x in old), sum((x - base) ** 2 for x in old)
-        for f in frames:
-            f = f.sort_values("ts")
-            marks, calls = [], []
-            for ts, v in zip(f["ts"], f["value"]):
-                if last is not None and ts - pd.Timestamp(last) > wait:
-                    old, flags, base, total, squares = deque(), [], None, 0.0, 0.0
-                last = ts
-                base = float(v) if base is None else base
-                n, d = len(old), float(v) - base
-                far = n >= 12 and abs(d - total / n) > outlier * max(max(squares / n - (total / n) ** 2, 0.0) ** 0.5, 1e-9)
-                flags = [*flags, bool(far)][-recent:]
-                if not far:
-                    old.append(float(v))
-                    total, squares = total + d, squares + d * d
-                    if len(old) > history:
-                        gone = old.popleft() - base
-                        total, squares = total - gone, squares - gone * gone
-                marks.append(bool(far))
-                calls.append(len(flags) == recent and sum(flags) >= event * recent)
-            yield pd.DataFrame({"sensor": key[0], "ts": f["ts"], "value": f["value"], "outlier": marks, "event": calls})
-        state.update((list(old), flags, last))
-
-    return stream.groupBy("sensor").applyInPandasWithState(step, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -69,14 +69,3 @@ def test_streams(spark, tmp_path):
     q = R.latest(stream).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.sensor, r.value) for r in spark.table("latest").collect()) == [(1, 23.0), (2, 23.0)]
-
-
-def test_event_detection(spark, tmp_path):
-    src = tmp_path / "ev"
-    src.mkdir()
-    value = lambda i: 100 if 40 <= i < 46 else i % 3
-    (src / "a.json").write_text("\n".join(f'{{"sensor": 1, "ts": "2024-01-01 00:{i:02}:00", "value": {value(i)}}}' for i in range(60)))
-    q = R.events(R.good(R.sensor_stream(spark, str(src), "sensor long, ts timestamp, value double"))).writeStream.outputMode("append").format("memory").queryName("ev").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.ts.minute: (r.outlier, r.event) for r in spark.table("ev").collect()}
-    assert sorted(m for m, x in got.items() if x[0]) == list(range(40, 46)) and got[43][1] and not got[39][1] and not got[55][1]
