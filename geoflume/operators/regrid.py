@@ -187,6 +187,51 @@ def corners(centres: DataFrame, by: list[str]) -> DataFrame:
     return out.filter("n = 4").drop("n")
 
 
+def _corner_weights(at: str, size: Column) -> Column:
+    """Array of (k, w): the corners that a centre counts in along one direction. An inner corner is the mean of two centres; an outer one goes on from the last two in a line."""
+    x = F.col(at)
+    pair = lambda k, w: F.struct(k.cast("int").alias("k"), w.alias("w"))
+    own = [pair(x, F.when(x == 0, 1.5).otherwise(0.5)), pair(x + 1, F.when(x == size - 1, 1.5).otherwise(0.5))]
+    far = [pair(F.when(x == 1, F.lit(0)), F.lit(-0.5)), pair(F.when(x == size - 2, size), F.lit(-0.5))]
+    return F.filter(F.array(*own, *far), lambda p: p["k"].isNotNull())
+
+
+def swath_corners(centres: DataFrame, by: list[str], rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """by, row, col, corner_lon, corner_lat: all rows + 1 by cols + 1 corners of swaths of centres (row, col from 0, lon, lat).
+
+    Corners at the edges are extrapolated linearly; longitudes across the date line are
+    taken on one side of it and come back within -180 to 180. A corner needs its four
+    centres (at an edge, the two beside it and the two behind those); a swath of one row
+    or column has none. rows, cols: the swaths' shape, else each one's largest row and
+    column. A centre adds to nine corners at most, with sums in the task first.
+    """
+    if rows is None or cols is None:
+        shape = centres.groupBy(*by).agg((F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols"))
+        sized = centres.join(shape, by) if by else centres.crossJoin(F.broadcast(shape))  # one row
+    else:
+        sized = centres.withColumns({"__rows": F.lit(rows), "__cols": F.lit(cols)})
+    sized = sized.filter("__rows > 1 and __cols > 1 and lon is not null and lat is not null")
+    dealt = sized.select(*by, "lon", "lat", F.explode(_corner_weights("row", F.col("__rows"))).alias("__r"), _corner_weights("col", F.col("__cols")).alias("__cs"))
+    dealt = dealt.select(*by, "lon", "lat", "__r", F.explode("__cs").alias("__c"))
+    w = F.col("__r.w") * F.col("__c.w")
+    east = F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon"))
+    out = dealt.groupBy(*by, F.col("__r.k").alias("row"), F.col("__c.k").alias("col")).agg(F.sum(w * F.col("lon")).alias("__a"), F.sum(w * east).alias("__b"), (F.max("lon") - F.min("lon")).alias("__span"), F.sum(w * F.col("lat")).alias("corner_lat"), F.count("*").alias("__n"))
+    lon = F.when(F.col("__span") > 180, F.col("__b")).otherwise(F.col("__a"))
+    return out.filter("__n = 4").select(*by, "row", "col", (F.pmod(lon + 180, F.lit(360.0)) - 180).alias("corner_lon"), "corner_lat")
+
+
+def corner_quads(corners: DataFrame, by: list[str]) -> DataFrame:
+    """by, row, col, x1, y1 .. x4, y4: the four corners of each cell, around it, for regrid_quads; longitudes of a cell across the date line go on beyond 180."""
+    order = [(0, 0), (0, 1), (1, 1), (1, 0)]
+    cells = F.array(*[F.struct((F.col("row") - r).alias("row"), (F.col("col") - c).alias("col"), F.lit(k).alias("k")) for k, (r, c) in enumerate(order, 1)])
+    dealt = corners.select(*by, F.explode(cells).alias("__c"), "corner_lon", "corner_lat").select(*by, "__c.*", "corner_lon", "corner_lat")
+    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    out = dealt.groupBy(*by, "row", "col").agg(*[e for k in range(1, 5) for e in (pick("corner_lon", k).alias(f"x{k}"), pick("corner_lat", k).alias(f"y{k}"))], F.count("*").alias("__n")).filter("__n = 4")
+    xs = [F.col(f"x{k}") for k in range(1, 5)]
+    wide = F.greatest(*xs) - F.least(*xs) > 180
+    return out.select(*by, "row", "col", *[e for k in range(1, 5) for e in (F.when(wide & (F.col(f"x{k}") < 0), F.col(f"x{k}") + 360).otherwise(F.col(f"x{k}")).alias(f"x{k}"), F.col(f"y{k}"))])
+
+
 def by_window(profiles: DataFrame, window: int, levels: int, target: int, by: list[str]) -> DataFrame:
     """Along-track means of so many points, and of levels down to a target number."""
     k = F.floor(F.col("point") / window).cast("int")
