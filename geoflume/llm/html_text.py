@@ -7,11 +7,13 @@ text density: characters per tag (formatting tags aside), reduced by the share o
 link tags as against the body's. The element whose children's densities sum to
 the most is the core of the article; the least density on its path to the body
 is the threshold. The main text grows from the core towards the body: beside it, and
-beside what holds it, headings and what they head, elements of prose and whatever reaches the threshold
-are the article's too, with what stands between them, but for what is mostly links.
+beside what holds it, headings and what they head and whatever reaches the threshold
+are the article's too, with what stands between them, but for what is mostly links; so
+is prose within an article or main element, whatever its density.
 
 A class, id or role names what is left out by a word of ``NOISE``, alone or joined
-to others of them or of ``PLAIN``. An element stays, whatever it is, if it holds main,
+to others of them or of ``PLAIN``; it says nothing of a heading, nor an id of prose in an
+article, whose ids are made of their words. An element stays, whatever it is, if it holds main,
 or all of the page's articles, or over half of the page's text (unless this
 stands beside an article or main with text of its own).
 
@@ -47,7 +49,7 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer aside form button dialog menu audio video label input script style noscript template textarea iframe svg title select canvas object".split())
+DROPPED = frozenset("head nav footer aside form button dialog menu audio video input script style noscript template textarea iframe svg title select canvas object".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words in a class, id or role that mark what isn't the article.
 NOISE = frozenset(
@@ -79,13 +81,17 @@ class Node:
 
 
 def _noisy(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
+    if tag in DROPPED or tag in ("header", "label") and not in_article:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attrs):
         return True
+    if tag in HEADS:  # ids of headings are made of their words
+        return False
     for m in _NAMED.finditer(attrs):
+        if in_article and tag in PROSE and m[1].lower() == "id":
+            continue
         for token in (m[2] or m[3] or m[4] or "").lower().split():
             words = set(_SPLIT.split(token)) - {""}
             noise = words & NOISE if in_article else words & (NOISE | {"header"})
@@ -317,9 +323,13 @@ def content(root: Node) -> set[int]:
 
     take(core)
     n = core
+    inside = {id(x) for x in nodes if x.tag in ("article", "main")}
+    for x in nodes:
+        if x.up is not None and id(x.up) in inside:
+            inside.add(id(x))
     while n.up is not None:  # what stands beside the core, and beside what holds it
         kids = [k for k in n.up.kids if type(k) is Node and k.chars]
-        good = [k is n or not _links(k) and (k.tag in PROSE or k.density >= threshold or _headed(k)) for k in kids]
+        good = [k is n or not _links(k) and (k.tag in HEADS or k.tag in PROSE and id(n.up) in inside or k.density >= threshold or _headed(k)) for k in kids]
         if any(type(k) is str and k.strip() for k in n.up.kids):
             taken.add(id(n.up))
         if True in good:

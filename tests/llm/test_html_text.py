@@ -145,3 +145,66 @@ def test_missing_end_tags():
     assert H.main_text(f"<p>{LONG}<script>var a = '<p>no</p>'") == LONG.strip()
     assert H.main_text(f'<p class="x>{LONG}<p>{LONG}') == "\n".join([LONG.strip()] * 2)
     assert H.main_text(f"a < b <p>{LONG}</p> 1 <2") == f"a < b\n{LONG.strip()}\n1 <2"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headings_with_ids_stay(tag):
+    heads = '<h2 id="comments">Comments on the law</h2>', '<h2 id="related">Related work</h2>', '<h3 id="share" class="share">Share prices</h3>'
+    page = f"<body><{tag}><h1>T</h1>" + "".join(f"{h}<p>{LONG}</p>" for h in heads) + f'<p id="notice">A short one. <label>Its label</label> ends.</p><div id="comments"><p>Nice post</p></div></{tag}></body>'
+    got = H.main_text(page)
+    assert all(x in got for x in ("Comments on the law", "Related work", "Share prices")) and "Nice post" not in got
+    assert ("A short one. Its label ends." in got) == (tag == "article")
+
+
+def test_notices_beside_the_article_go():
+    page = f"<body><p>We use cookies on this site. Accept?</p><div><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><p>Copyright 2020 the makers</p></body>"
+    assert H.main_text(page) == "\n".join(["T", LONG.strip(), "Short.", LONG.strip()])
+
+
+def test_prose_between_parts_of_the_article_stays():
+    page = f"<body><div><section><p>{LONG}</p><p>{LONG}</p></section><p>Between.</p><section><p>{LONG}</p><p>{LONG}</p></section></div></body>"
+    assert "Between." in H.main_text(page).split("\n")
+
+
+def plain_densities(root):
+    """Densities by their formula, each element's counts taken anew from all that is below it."""
+    import math
+
+    def below(n):
+        yield from (x for k in n.kids if isinstance(k, H.Node) for x in (k, *below(k)))
+
+    def chars(n):
+        return sum(len(" ".join(k.split())) if isinstance(k, str) else chars(k) for k in n.kids)
+
+    def link_chars(n):
+        return chars(n) if n.tag == "a" else sum(link_chars(k) for k in n.kids if isinstance(k, H.Node))
+
+    body = max(link_chars(root), 1) / max(chars(root), 1)
+    out = {}
+    for n in (root, *below(root)):
+        c, lc = chars(n), link_chars(n)
+        t, lt = len(list(below(n))), sum(k.tag == "a" for k in below(n))
+        out[id(n)] = 0.0
+        if c:
+            log = math.log(max(c * max(t, 1) / (max(lc, 1) * max(lt, 1)), 1.0))
+            out[id(n)] = c / max(t, 1) * log / math.log(math.log(c * max(lc, 1) / max(c - lc, 1) + body * c + math.e))
+    return out
+
+
+def test_densities_core_and_threshold_of_every_page(spark, sf_dir):
+    """The core, what is beside it, and the densities of every page of the table, read off the formulas slowly."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        root = H.tree(r.html)
+        taken, density = H.content(root), plain_densities(root)
+        nodes = H._order(root)
+        assert all(abs(n.density - density[id(n)]) < 1e-9 * max(1, density[id(n)]) for n in nodes)
+        total = {id(n): sum(density[id(k)] for k in n.kids if isinstance(k, H.Node)) for n in nodes}
+        core = max(nodes, key=lambda n: total[id(n)])
+        assert root.best.total == pytest.approx(total[id(core)]) and id(root.best) in taken
+        path = [core]
+        while path[-1].up is not None:
+            path.append(path[-1].up)
+        least = min(density[id(n)] for n in path)
+        for n in path[:-1]:
+            beside = [k for k in n.up.kids if isinstance(k, H.Node) and k.chars and 2 * k.link_chars <= k.chars]
+            assert all(id(k) in taken for k in beside if density[id(k)] >= least)
