@@ -23,38 +23,48 @@ from geoflume.llm._common import chunks, mix, table
 
 #: (rule, verdict): host, then path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-SIZES, BITS, MAX_TRAIN, EPOCHS = (3, 4, 5), 16, 10_000, 1000
-#: Words of hosts to block, first and second, and of hosts to allow. The table joins them by rule; no host of the tables is among its urls.
-_BAD = ("casino slots poker jackpot bets betting lottery roulette viagra pills pharma adult porn xxx cams escort warez crack torrent spam links backlink ads popup tracker clicks prizes loans replica".split(), "bonus deals club hub 24 now zone store farm network king vip".split())
-_LURE = "cheap free hot win buy best-price instant easy".split()
-_GOOD = "library news weather museum school recipes science history travel garden university docs forum music maps kitchen bridge river mountain football chess painting theatre village harbour market orchard castle".split()
-_MORE = "city old north green daily open public local".split()
-_TAILS = (("org", "en/728"), ("net", "de/12.html"), ("com", "fr/5/"))
-
-
-def _names() -> Iterator[tuple[str, int]]:
-    """Names of hosts to block (1) and to allow (0): pairs of words, single words, and made-up words of syllables."""
-    first, second = _BAD
-    for i, w in enumerate(first):
-        for j in range(4):
-            yield f"{w}-{second[(i + 5 * j) % len(second)]}", 1
-            yield f"{_LURE[(i + 3 * j) % len(_LURE)]}-{w}", 1
-    for i, w in enumerate(_GOOD):
-        yield w, 0
-        for j in range(4):
-            yield f"{_MORE[(i + 3 * j) % len(_MORE)]}-{w}", 0
-            yield f"{w}-{_GOOD[(i + 7 * j + 1) % len(_GOOD)]}", 0
-    syllables = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
-    for i in range(120):
-        yield "".join(syllables[(i * 17 + j * (23 + i % 5)) % len(syllables)] for j in range(2 + i % 3)), 0
+SIZES, BITS, MAX_TRAIN, EPOCHS = (3, 4, 5), 16, 10_000, 150
+#: Hosts that people know and read. Fixed values.
+_KNOWN = (
+    "en.wikipedia.org de.wikipedia.org es.wikibooks.org www.wikidata.org commons.wikimedia.org www.bbc.co.uk www.theguardian.com www.reuters.com apnews.com www.nytimes.com www.lemonde.fr elpais.com www.spiegel.de www.zeit.de www.aljazeera.com "
+    "github.com gitlab.com stackoverflow.com superuser.com askubuntu.com docs.python.org www.python.org www.rust-lang.org go.dev developer.mozilla.org www.w3.org www.ietf.org kernel.org www.gnu.org www.debian.org ubuntu.com www.postgresql.org "
+    "arxiv.org www.nature.com www.science.org journals.plos.org pubmed.ncbi.nlm.nih.gov www.nih.gov www.cdc.gov www.who.int www.nasa.gov www.noaa.gov www.usgs.gov www.epa.gov earthobservatory.nasa.gov www.esa.int www.ecmwf.int www.metoffice.gov.uk "
+    "www.mit.edu www.stanford.edu www.ox.ac.uk www.cam.ac.uk ethz.ch www.tum.de www.sorbonne-universite.fr www.uba.ar www.harvard.edu ocw.mit.edu www.khanacademy.org www.coursera.org www.britannica.com plato.stanford.edu www.gutenberg.org archive.org "
+    "www.loc.gov www.bl.uk www.metmuseum.org www.louvre.fr www.moma.org www.rijksmuseum.nl www.nationalgeographic.com www.smithsonianmag.com www.npr.org www.pbs.org www.economist.com www.ft.com www.wired.com arstechnica.com lwn.net "
+    "news.ycombinator.com www.reddit.com medium.com wordpress.org blog.mozilla.org www.eff.org creativecommons.org www.openstreetmap.org www.un.org europa.eu www.gov.uk www.bundestag.de www.parliament.uk www.canada.ca www.australia.gov.au www.service-public.fr "
+    "www.imdb.com musicbrainz.org www.discogs.com www.goodreads.com www.allrecipes.com www.bbcgoodfood.com www.seriouseats.com www.chefkoch.de www.marmiton.org www.lonelyplanet.com www.tripadvisor.com www.weather.gov www.timeanddate.com www.fifa.com www.olympics.com www.chess.com "
+    "www.php.net sourceforge.net www.researchgate.net www.slideshare.net www.behance.net www.speedtest.net www.ripe.net www.apnic.net www.infoq.com www.jstor.net m.heise.de www.geant.net www.dante.net en.savannah.net blog.cloudflare.com"
+).split()
+_READ = ("/", "/wiki/Main_Page", "/news/2024/05/a-new-bridge-opens", "/en/articles/728", "/docs/intro/index.html", "/questions/4033/how-do-i", "/about", "/research/papers/12.pdf", "/de/themen/natur", "/blog/2023/notes?page=2", "/es/1204/", "/fr/culture/33.html")
+#: First words of hosts to block, and the words and endings that follow them. Fixed values.
+_BAIT = (
+    "slots poker jackpot roulette lottery blackjack viagra cialis steroids weightloss sexchat escorts hookup camgirls nudes erotic fetish milf replica fake-watches designer-handbags payday-loans quick-cash bitcoin-doubler crypto-giveaway forex-signals "
+    "torrents cracked keygen warez serials game-cheats proxy-unblock verify-login account-update prize-claim survey-reward giftcards coupon-codes backlinks seo-boost buy-followers likes-booster popunder essay-writing diploma miracle-cure detox-tea"
+).split()
+_HOOK = "online live hub bonus deals zone vip club 24 best now store outlet network direct official".split()
+_END = "xyz top club live shop click bid icu vip online site biz info com net org".split()
+_PUSH = ("/", "/go?aff=12", "/signup.php", "/promo/bonus", "/register/now", "/order?pid=77", "/claim-your-reward", "/xxx/hot", "/dl/setup.exe", "/offer/1?sub=a")
+
+
+def _urls() -> Iterator[tuple[str, int]]:
+    """Known hosts with paths of several kinds; baits with each of some hooks, endings and paths, as one word, with hyphens or the hook first."""
+    for i, host in enumerate(_KNOWN):
+        for j in range(7):
+            yield f"http{'s' * (j % 2)}://{host}{_READ[(i * 3 + j * 5) % len(_READ)] if j else '/'}", 0
+    for i, word in enumerate(_BAIT):
+        for j in range(16):
+            hook, end = _HOOK[(i * 5 + j) % len(_HOOK)], _END[(i * 7 + j * 3) % len(_END)]
+            name = (f"{word}-{hook}", f"{hook}-{word}", f"{word}{hook}", f"www.{word}-{hook}", f"{word}{i % 10}{j % 10}")[j % 5]
+            yield f"http{'s' * (j % 2)}://{name}.{end}{_PUSH[(i + j * 3) % len(_PUSH)] if j % 3 else '/'}", 1
 
 
 #: The labelled urls: (url, 1 to block).
-LABELLED = tuple((f"https://{p}{name}.example.{t}/{s}", y) for n, (name, y) in enumerate(_names()) for p, (t, s) in zip(("", "www.", "blog."), _TAILS[n % 3 :] + _TAILS[: n % 3]))
+LABELLED = tuple(_urls())
 
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host in lower case and path."""
+    url = url.cast("string")
     shape = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     host = F.regexp_extract(F.coalesce(url, F.lit("")), shape, 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(F.coalesce(url, F.lit("")), shape, 2)
@@ -99,11 +109,15 @@ def train(hosts: list[str], paths: list[str], labels: list[int], epochs: int = E
     rows, cells, n = features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))
     y, weights, bias = np.asarray(labels, float), np.zeros(1 << BITS), 0.0
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    for _ in range(epochs):
-        error = 1 / (1 + np.exp(-_score(rows, cells, n, weights, bias))) - y
-        weights -= 2.0 * (np.bincount(cells, (error * scale)[rows], minlength=1 << BITS) / n + ridge * weights)
-        bias -= 0.5 * error.mean()
-    return weights.astype(np.float32), bias
+    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # either kind weighs half
+    ahead, ahead_bias = weights, bias
+    for k in range(epochs):  # gradient steps with Nesterov's momentum
+        error = (1 / (1 + np.exp(-_score(rows, cells, n, ahead, ahead_bias))) - y) * share
+        new = ahead - 4.0 * (np.bincount(cells, (error * scale)[rows], minlength=1 << BITS) + ridge * ahead)
+        new_bias = ahead_bias - 1.0 * error.sum()
+        ahead, ahead_bias = new + k / (k + 3) * (new - weights), new_bias + k / (k + 3) * (new_bias - bias)
+        weights, bias = new, new_bias
+    return weights.astype(np.float32), float(bias)
 
 
 def _judge(weights: np.ndarray, bias: float):
@@ -122,9 +136,9 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES)
     if labelled is None:
         labelled = spark.createDataFrame(list(LABELLED), "url string, label int")
     host, path = parts(F.col("url"))
-    known = labelled.filter("label is not null").select("url", host.alias("host"), path.alias("path"), "label").orderBy("url", "label").limit(MAX_TRAIN).collect()
+    known = labelled.filter("label is not null").select(F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), "label").orderBy("url", "label").limit(MAX_TRAIN).collect()
     weights, bias = train([r.host for r in known], [r.path for r in known], [r.label for r in known])
-    rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).mapInArrow(_judge(weights, bias), "page_id long, host string, path string, p_block double")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).mapInArrow(_judge(weights, bias), "page_id long, host string, path string, p_block double")
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     named = F.create_map(*[F.lit(x) for r in rules for x in r])
     verdict = F.coalesce(F.element_at(named, F.col("rule")), F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
