@@ -25,6 +25,62 @@ ELLIPSOIDS = {
     "bessel": (6377397.155, 6356078.9628181886),
     "intl": (6378388.0, 6356911.9461279465),
 }
+#: Named semi-axes in metres, to a tenth, and radii of spheres. Fixed values.
+NAMED_ELLIPSOIDS = {
+    "airy_1830": (6377563.4, 6356256.9),
+    "modified_airy": (6377340.2, 6356034.4),
+    "andrae_1876": (6377104.4, 6355847.4),
+    "applied_physics_1965": (6378137.0, 6356751.8),
+    "australian_natl_sa_1969": (6378160.0, 6356774.7),
+    "bessel_1841": (6377397.2, 6356079.0),
+    "bessel_namibia_1841": (6377483.9, 6356165.4),
+    "clarke_1866": (6378206.4, 6356583.8),
+    "clarke_1880": (6378249.1, 6356515.0),
+    "comm_des_poids_et_mesures_1799": (6375738.7, 6356666.2),
+    "delambre_1810_belgium": (6376428.0, 6355957.9),
+    "engelis_1985": (6378136.1, 6356751.3),
+    "everest_1830": (6377276.3, 6356075.4),
+    "everest_1948": (6377304.1, 6356103.0),
+    "everest_1956": (6377301.2, 6356100.2),
+    "everest_1969": (6377295.7, 6356094.7),
+    "everest_sabah_sarawak": (6377298.6, 6356097.6),
+    "fischer_mercury_datum_1960": (6378166.0, 6356784.3),
+    "modified_fischer_1960": (6378155.0, 6356773.3),
+    "fischer_1968": (6378150.0, 6356768.3),
+    "grs_iugg_1967": (6378160.0, 6352363.3),
+    "grs_iugg_1980": (6378137.0, 6356752.3),
+    "helmert_1906": (6378200.0, 6356818.2),
+    "hough": (6378270.0, 6356794.3),
+    "iau_1976": (6378140.0, 6356755.3),
+    "intl_hayford_1909": (6378388.0, 6356911.9),
+    "krassovsky_1942": (6378245.0, 6356863.0),
+    "kaula_1961": (6378163.0, 6356777.0),
+    "lerch_1979": (6378139.0, 6356754.3),
+    "maupertius_1738": (6397300.0, 6363806.3),
+    "merit_1983": (6378137.0, 6356752.3),
+    "naval_weapons_lab_1965": (6378145.0, 6356759.8),
+    "new_international_1967": (6378157.5, 6356772.2),
+    "plessis_1817": (6376523.0, 6355863.0),
+    "sgs_1985": (6378136.0, 6356751.3),
+    "southeast_asia": (6378155.0, 6356773.0),
+    "walbeck": (6376896.0, 6355835.0),
+    "wgs_1960": (6378165.0, 6356783.3),
+    "wgs_1966": (6378145.0, 6356759.8),
+    "wgs_1972": (6378135.0, 6356750.5),
+    "wgs_1984": (6378137.0, 6356752.3),
+    "mars": (3394500.0, 3376400.0),
+    "mm5": (6370997.0, 6370997.0),
+    "mcidas": (6371230.0, 6371230.0),
+    "moon": (1738000.0, 1738000.0),
+    "venus": (6051000.0, 6051000.0),
+}
+
+
+def ellipsoid(name: str) -> tuple[float, float]:
+    """The semi-axes of a name of either table."""
+    return ELLIPSOIDS[name] if name in ELLIPSOIDS else NAMED_ELLIPSOIDS[name.lower()]
+
+
 _HALF_PI, _QUARTER_PI = math.pi / 2, math.pi / 4
 
 

@@ -16,6 +16,15 @@ def numeric_id(name: Column, digits: int = 18) -> Column:
     return F.when(joined != "", joined).cast("long")
 
 
+def site_number(name: Column) -> Column:
+    """A number of a site name as in numeric_id, of at most 19 digits: of a longer one the first 15 and the last 4."""
+    numbers = F.create_map(*[F.lit(x) for i, c in enumerate(_LETTERS) for x in (c, str(i + 1))])
+    parts = F.transform(F.split(F.regexp_replace(F.upper(name), "[^A-Z0-9]", ""), ""), lambda c: F.coalesce(F.try_element_at(numbers, c), c))
+    whole = F.array_join(parts, "")
+    short = F.when(F.length(whole) > 19, F.concat(F.left(whole, F.lit(15)), F.right(whole, F.lit(4)))).otherwise(whole)
+    return F.when(short != "", short).cast("decimal(19,0)")
+
+
 def capitalised(name: Column) -> Column:
     """Each word between underscores with a capital."""
     return F.translate(F.initcap(F.translate(name, "_", " ")), " ", "_")

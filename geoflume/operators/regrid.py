@@ -49,9 +49,10 @@ def reaggregate(cells: DataFrame, ts: str, period: str, by: list[str] | None = N
 
 
 def densify(cells: DataFrame, grid: Grid, times: DataFrame, ts: str, value: str = "value", scale: float = 1.0, missing: float = -9.999e36) -> DataFrame:
-    """Every cell of every time; absent ones get the missing value. For sinks."""
-    # the grid and the list of times are both small by definition of a dense output
-    every = times.select(ts).distinct().join(grid.frame(cells.sparkSession))
+    """Every cell of every time; absent ones get the missing value. For sinks. Each time makes the grid's cells itself, so nothing is joined with all times."""
+    cell = F.explode(F.sequence(F.lit(0), F.lit(grid.rows * grid.cols - 1)))
+    every = times.select(ts).distinct().select(ts, cell.alias("__cell"))
+    every = every.select(ts, F.floor(F.col("__cell") / grid.cols).cast("int").alias("row"), (F.col("__cell") % grid.cols).cast("int").alias("col"))
     return every.join(cells, [ts, "row", "col"], "left").withColumn(value, F.coalesce(F.col(value) * scale, F.lit(missing)))
 
 

@@ -22,6 +22,16 @@ def kml_points(df: DataFrame, name: str, value: str) -> DataFrame:
     return df.select(F.format_string(shape, clean(name), clean(value), "lon", "lat").alias("line"))
 
 
+def kml_polygons(df: DataFrame, name: str, value: str) -> DataFrame:
+    """A Placemark line for each row of rings (structs of arrays xs, ys; the first is the outer one, the others holes); rings are closed."""
+    at = lambda r, i: F.format_string("%.6f,%.6f", F.get(r["xs"], i), F.get(r["ys"], i))
+    ring = lambda r: F.concat(F.lit("<LinearRing><coordinates>"), F.array_join(F.transform(F.concat(F.sequence(F.lit(0), F.size(r["xs"]) - 1), F.array(F.lit(0))), lambda i: at(r, i)), " "), F.lit("</coordinates></LinearRing>"))
+    side = lambda r, i: F.concat(F.when(i == 0, "<outerBoundaryIs>").otherwise("<innerBoundaryIs>"), ring(r), F.when(i == 0, "</outerBoundaryIs>").otherwise("</innerBoundaryIs>"))
+    clean = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    sides = F.array_join(F.transform(F.filter("rings", lambda r: F.size(r["xs"]) > 2), side), "")
+    return df.select(F.format_string("<Placemark><name>%s</name><description>%s</description><Polygon>%s</Polygon></Placemark>", clean(name), clean(value), sides).alias("line"))
+
+
 def geojson(df: DataFrame, *properties: str) -> DataFrame:
     """A Feature line for each point."""
     shape = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))
