@@ -26,12 +26,16 @@ UNITS = (
 )
 
 
-def convert(df: DataFrame, unit: str = "unit", value: str = "value", depth: bool = False) -> DataFrame:
-    """value and unit in their target units; unknown units stay. depth makes metres negative. The table is a map expression, so nothing is joined."""
+def converted(value: Column, unit: Column) -> tuple[Column, Column]:
+    """A value and its unit in the unit's target; an unknown unit stays. The table is a map expression, so nothing is joined."""
     known = F.create_map(*[F.lit(x) if i == 0 else F.struct(*[F.lit(y) for y in x]) for u, *rest in UNITS for i, x in enumerate((u, rest))])
     rule = F.try_element_at(known, F.lower(F.trim(unit)))
-    v = F.coalesce(F.col(value) * rule["col2"] + rule["col3"], F.col(value))
-    target = F.coalesce(rule["col1"], F.col(unit))
+    return F.coalesce(value * rule["col2"] + rule["col3"], value), F.coalesce(rule["col1"], unit)
+
+
+def convert(df: DataFrame, unit: str = "unit", value: str = "value", depth: bool = False) -> DataFrame:
+    """value and unit in their target units, as converted() gives them. depth makes metres negative."""
+    v, target = converted(F.col(value), F.col(unit))
     if depth:
         v = F.when(target == "m", -F.abs(v)).otherwise(v)
     return df.select(*[v.alias(c) if c == value else target.alias(c) if c == unit else F.col(f"`{c}`") for c in df.columns])

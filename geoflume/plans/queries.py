@@ -163,11 +163,11 @@ def reaggregate_all(spark, d):
     return R.reaggregate(_hourly_cells(spark, d), "ts", "all").select("row", "col", r6(F.col("value"), "value"), "n")
 
 
-@query(f"""WITH {_HOURLY}, w AS (SELECT ts, row, col, value FROM h WHERE ts < '2024-01-02')
+@query(f"""WITH {_HOURLY}, w AS (SELECT ts, row, col, value FROM h)
 SELECT strftime(t.ts, '%Y%m%d%H')::BIGINT AS hour, g.row, g.col, coalesce(round(w.value, 6) * 10, -9999) AS value
 FROM (SELECT DISTINCT ts FROM w) t, (SELECT (i // 60)::INTEGER AS row, (i % 60)::INTEGER AS col FROM range(1500) r(i)) g LEFT JOIN w ON w.ts = t.ts AND w.row = g.row AND w.col = g.col""")
 def densify_grid(spark, d):
-    cells = _hourly_cells(spark, d).filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).withColumn("value", F.round("value", 6))
+    cells = _hourly_cells(spark, d).withColumn("value", F.round("value", 6))
     return R.densify(cells, ONE_DEGREE, cells, "ts", scale=10.0, missing=-9999.0).select(hour(), "row", "col", "value")
 
 
@@ -175,7 +175,7 @@ def densify_grid(spark, d):
 SELECT strftime(t.ts, '%Y%m%d%H')::BIGINT AS hour, g.row, g.col, coalesce(round(h.value, 6) * 10, -9999) AS value
 FROM (SELECT DISTINCT ts FROM h) t, (SELECT (i // 60)::INTEGER AS row, (i % 60)::INTEGER AS col FROM range(1500) r(i)) g LEFT JOIN h ON h.ts = t.ts AND h.row = g.row AND h.col = g.col""")
 def densify_grid_all(spark, d):
-    """As densify_grid, over every hour."""
+    """As densify_grid, which had one day only once."""
     cells = _hourly_cells(spark, d).withColumn("value", F.round("value", 6))
     return R.densify(cells, ONE_DEGREE, cells, "ts", scale=10.0, missing=-9999.0).select(hour(), "row", "col", "value")
 
@@ -466,16 +466,15 @@ def json_field_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT s.station, h.h, round(CASE h.h WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END, 6) AS value FROM (SELECT station, sum(value) FILTER (hour(ts) = 0) AS v0, sum(value) FILTER (hour(ts) = 1) AS v1, sum(value) FILTER (hour(ts) = 2) AS v2 FROM points GROUP BY station) s, (SELECT unnest([0, 1, 2]) AS h) h WHERE CASE h.h WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END IS NOT NULL""")
+@query("SELECT station, hour(ts)::INTEGER AS h, round(sum(value), 6) AS value FROM points WHERE value IS NOT NULL GROUP BY ALL")
 def unpivot_hours(spark, d):
-    wide = points(spark, d).groupBy("station").agg(*[F.sum(F.when(F.hour("ts") == h, F.col("value"))).alias(f"v{h}") for h in range(3)])
-    long = wide.unpivot("station", ["v0", "v1", "v2"], "name", "value").filter("value is not null")
-    return long.select("station", F.substring("name", 2, 1).cast("int").alias("h"), r6(F.col("value"), "value"))
+    """Hour columns of each station as rows."""
+    return unpivot_all_hours(spark, d)
 
 
 @query("SELECT station, hour(ts)::INTEGER AS h, round(sum(value), 6) AS value FROM points GROUP BY ALL HAVING sum(value) IS NOT NULL")
 def unpivot_all_hours(spark, d):
-    """As unpivot_hours, with a column for each of the day's hours."""
+    """A column for each of the day's hours, unpivoted again."""
     names = [f"v{h}" for h in range(24)]
     wide = points(spark, d).groupBy("station").agg(*[F.sum(F.when(F.hour("ts") == h, F.col("value"))).alias(name) for h, name in enumerate(names)])
     long = wide.unpivot("station", names, "name", "value").filter("value is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from geoflume.operators import exact as E
 from geoflume.operators import filters as FL
 from geoflume.operators import joins as J
 from geoflume.operators import regrid as R
+from geoflume.operators import relations as Q
 from geoflume.plans.points import ONE_DEGREE, POINTS_SQL, points, table
 from geoflume.plans.registry import query
 
@@ -80,7 +83,7 @@ def open_interval_join(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 11 = 0)""")
 def semi_join_ids(spark, d):
     masked = table(spark, d, "orders").filter("o_custkey % 11 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(masked, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+    return Q.only_ids(table(spark, d, "lineitem"), masked, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query(f"""WITH {_PIXELS_SQL} SELECT granule, row, col, value, 100.0::DOUBLE * row + 30 AS altitude, 2024010100 + granule % 24 AS hour
@@ -116,14 +119,14 @@ def code_lookup(spark, d):
     return table(spark, d, "events").select("event_id", J.named(F.col("event_id") % 30, J.SMOKE).alias("density"))
 
 
-@query(f"""WITH {POINTS_SQL}, f AS (SELECT s_suppkey AS fid, (s_suppkey * 37 % 6000)::DOUBLE / 100 - 125 AS x, (s_suppkey * 53 % 2500)::DOUBLE / 100 + 25 AS y FROM supplier WHERE s_suppkey % 3 = 0),
-p AS (SELECT event_id, lon, lat FROM points WHERE event_id % 5 = 0),
+@query(f"""WITH {POINTS_SQL}, f AS (SELECT s_suppkey AS fid, (s_suppkey * 37 % 6000)::DOUBLE / 100 - 125 AS x, (s_suppkey * 53 % 2500)::DOUBLE / 100 + 25 AS y FROM supplier),
+p AS (SELECT event_id, lon, lat FROM points),
 n AS (SELECT event_id, fid, sqrt((lon - x) * (lon - x) + (lat - y) * (lat - y)) AS d FROM p, f)
 SELECT p.event_id, b.fid FROM p LEFT JOIN (SELECT event_id, arg_min(fid, struct_pack(d := d, fid := fid)) AS fid FROM n WHERE d <= 1.5 GROUP BY event_id) b USING (event_id)""")
 def nearest_feature_all(spark, d):
     s = F.col("s_suppkey")
-    f = table(spark, d, "supplier").filter(s % 3 == 0).select(s.alias("fid"), (s * 37 % 6000 / 100 - 125).alias("flon"), (s * 53 % 2500 / 100 + 25).alias("flat"))
-    p = points(spark, d).filter("event_id % 5 = 0").select("event_id", "lon", "lat")
+    f = table(spark, d, "supplier").select(s.alias("fid"), (s * 37 % 6000 / 100 - 125).alias("flon"), (s * 53 % 2500 / 100 + 25).alias("flat"))
+    p = points(spark, d).select("event_id", "lon", "lat")
     return J.nearest_feature(p, f, 1.5, "left").select("event_id", "fid")
 
 
@@ -208,9 +211,9 @@ def shape_bounds_mask(spark, d):
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' AND (o_custkey % 50 BETWEEN 10 AND 20 OR o_custkey IN (3, 7, 31))""")
 def table_subset(spark, d):
-    o, c = table(spark, d, "orders"), F.col("o_custkey")
-    within = FL.in_time(F.col("o_orderdate"), F.lit("1995-01-01").cast("date"), F.lit("1996-06-30").cast("date"))
-    return o.filter(within & ((c % 50).between(10, 20) | c.isin(3, 7, 31))).select("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_custkey") % 50).alias("zone"))
+    dated = Q.subset(o, {"day": (dt.date(1995, 1, 1), dt.date(1996, 6, 30))})
+    return dated.filter(F.col("zone").between(10, 20) | F.col("o_custkey").isin(3, 7, 31)).select("o_orderkey")
 
 
 @query("""SELECT event_id, value, value * 2 + 135.5 AS elevation FROM events WHERE event_id % 2 = 1""")
@@ -261,8 +264,7 @@ def exact_sum(spark, d):
 @query("""SELECT 'event_id' AS name, min(event_id)::DOUBLE AS least, max(event_id)::DOUBLE AS most, count(event_id) AS n FROM events
 UNION ALL SELECT 'user_id', min(user_id), max(user_id), count(user_id) FROM events UNION ALL SELECT 'value', min(value), max(value), count(value) FROM events""")
 def column_ranges(spark, d):
-    long = table(spark, d, "events").select(*[F.col(c).cast("double").alias(c) for c in ("event_id", "user_id", "value")]).unpivot([], ["event_id", "user_id", "value"], "name", "v")
-    return long.groupBy("name").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
+    return Q.ranges(table(spark, d, "events"), ["event_id", "user_id", "value"])
 
 
 @query("""SELECT o_orderkey, rank() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') || ' ' || lpad(o_orderkey::VARCHAR, 12, '0')) AS place FROM orders""")
@@ -285,26 +287,53 @@ def exact_double_sum(spark, d):
 def files_by_field(spark, d):
     c = table(spark, d, "customer")
     path = F.concat_ws("_", F.lit("a_b_c_d"), F.lpad((F.col("c_custkey") * 7919 % 10007).cast("string"), 6, "0"), F.concat(F.col("c_custkey").cast("string"), F.lit(".nc")))
-    files = c.select(F.col("c_nationkey").alias("nation"), path.alias("path")).withColumn("field", F.element_at(F.split("path", "_"), 5))
-    return files.select("path", "field", F.row_number().over(W.partitionBy("nation").orderBy("field", "path")).cast("long").alias("place"))
+    files = Q.by_field(c.select(F.col("c_nationkey").alias("nation"), path.alias("path")), ["nation"], 5)
+    return files.select("path", "field", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {_PIXELS_SQL} SELECT granule, 9 - row AS row, col, col AS t_row, row AS t_col, value FROM pixels""")
 def reversed_and_transposed(spark, d):
-    p = pixels(spark, d)
-    return p.select("granule", (9 - F.col("row")).alias("row"), "col", F.col("col").alias("t_row"), F.col("row").alias("t_col"), "value")
+    p = pixels(spark, d).withColumns({"t_row": F.col("row"), "t_col": F.col("col")})
+    return Q.transposed(Q.flipped(p, 10), "t_row", "t_col").select("granule", "row", "col", "t_row", "t_col", "value")
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('7|' || event_id)) AS place FROM events""")
 def seeded_shuffle(spark, d):
-    key = F.md5(F.concat(F.lit("7|"), F.col("event_id").cast("string")))
-    return table(spark, d, "events").select("event_id", F.row_number().over(W.partitionBy("user_id").orderBy(key)).cast("long").alias("place"))
+    return Q.shuffled(table(spark, d, "events"), ["user_id"], "event_id", 7).select("event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS page FROM orders""")
 def paged_rows(spark, d):
-    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(place / 5).alias("page"))
+    return Q.paged(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderkey")], 5).select("o_custkey", "o_orderkey", "page")
+
+
+@query(f"""WITH {_PIXELS_SQL}, n AS (SELECT granule, max(row) + 1 AS n FROM pixels GROUP BY 1), b AS (SELECT granule, coalesce(sum(n) OVER (ORDER BY granule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT granule, row, col, (row + before)::BIGINT AS scan, value FROM pixels JOIN b USING (granule)""")
+def swaths_in_sequence(spark, d):
+    """All swaths as one, their rows numbered on from swath to swath."""
+    out = Q.in_sequence(pixels(spark, d), "granule", F.col("granule"))
+    return out.select("granule", "row", "col", F.col("scan").cast("long").alias("scan"), "value")
+
+
+@query("""SELECT station, strftime(ts, '%Y%m%d')::BIGINT AS day, round(sum(round(value * 1e9, 0)::DECIMAL(28, 6))::DOUBLE / count(value), 3) AS value, count(value) AS n FROM points GROUP BY ALL""")
+def scaled_mean_any_order(spark, d):
+    """Daily means in billionths, added up as whole numbers."""
+    p = points(spark, d).withColumn("day", T.pack(F.col("ts"), "yyyyMMdd"))
+    return Q.scaled_mean(p, ["station", "day"], "value", 1e9).select("station", "day", F.round("value", 3).alias("value"), "n")
+
+
+@query("""SELECT event_id, value, value * 2 + s_suppkey % 40 * 12.5::DOUBLE AS elevation FROM events LEFT JOIN supplier ON user_id = s_suppkey""")
+def levels_above_sea(spark, d):
+    """Heights above the ground of each station, above sea; null where the station's ground isn't known."""
+    sites = table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") % 40 * 12.5).alias("ground"))
+    return Q.above_sea(table(spark, d, "events"), sites, "user_id", F.col("value") * 2).select("event_id", "value", "elevation")
+
+
+@query("""SELECT 'hourly_mean_value' AS name, station, strftime(ts, '%Y%m%d%H')::BIGINT AS start, round(avg(value), 6) AS value FROM points GROUP BY ALL
+UNION ALL SELECT 'daily_mean_value', station, strftime(ts, '%Y%m%d')::BIGINT * 100, round(avg(value), 6) FROM points GROUP BY ALL""")
+def named_means(spark, d):
+    cuts = {"hourly": T.pack(F.col("ts"), "yyyyMMddHH"), "daily": T.pack(F.col("ts"), "yyyyMMdd") * 100}
+    return Q.named(points(spark, d), cuts, ["station"], "value").select("name", "station", "start", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {_PIXELS_SQL} SELECT granule, count(*) AS points, max(row) + 1 AS scans, (SELECT count(*) FROM pixels) AS all_points FROM pixels GROUP BY granule""")

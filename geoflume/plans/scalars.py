@@ -59,12 +59,12 @@ def file_name_times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.pack(T.of_file_name(path), "yyyyMMdd").alias("day"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS t FROM orders WHERE o_orderkey % 7 = 0), s AS (SELECT unnest([0, 1, 2]) AS i)
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS t FROM orders), s AS (SELECT unnest([0, 1, 2]) AS i)
 SELECT o_orderkey, i, strftime(date_trunc('year', t) + to_years(i), '%Y%m%d%H')::BIGINT AS yearly, strftime(date_trunc('month', t) + to_months(i), '%Y%m%d%H')::BIGINT AS monthly,
   strftime(t + to_hours(i * 168), '%Y%m%d%H')::BIGINT AS weekly FROM o, s""")
 def time_labels(spark, d):
     t = F.col("o_orderdate").cast("timestamp")
-    o = table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, d, "orders")
     zipped = F.arrays_zip(T.labels(t, 3, 8760).alias("yearly"), T.labels(t, 3, 744).alias("monthly"), T.labels(t, 3, 168).alias("weekly"))
     return o.select("o_orderkey", F.posexplode(zipped).alias("i", "l")).select("o_orderkey", "i", "l.*")
 
@@ -180,9 +180,8 @@ def depth_and_scale_rules(spark, d):
     kind = F.element_at(F.array(F.lit("Surface water"), F.lit("Midwater"), F.lit("Bottom")), (F.col("event_id") % 3 + 1).cast("int"))
     depth = F.when(F.col("event_id") % 3 == 1, F.round(U.depth_of(kind, v), 6)).otherwise(U.depth_of(kind, v))
     below = F.when(v > 20, U.below(v)).otherwise(v)
-    scaled = [U.convert(table(spark, d, "events").select("event_id", "value", F.lit(u).alias("unit")), "unit", "value").select("event_id", F.col("value").alias(n)) for u, n in (("mol/m2", "m"), (" Pa", "p"))]
-    out = table(spark, d, "events").select("event_id", depth.alias("depth"), below.alias("below")).join(scaled[0], "event_id").join(scaled[1], "event_id")
-    return out.select("event_id", "depth", "below", F.round(F.col("m") / 1e15, 4).alias("molecules"), F.round("p", 6).alias("hpa"))
+    molecules, hpa = (U.converted(v, F.lit(u))[0] for u in ("mol/m2", " Pa"))
+    return table(spark, d, "events").select("event_id", depth.alias("depth"), below.alias("below"), F.round(molecules / 1e15, 4).alias("molecules"), F.round(hpa, 6).alias("hpa"))
 
 
 @query("""SELECT p_partkey, list_position(string_split('a,' || p_type || ',c', ','), p_type) - 1 AS place,
