@@ -2,7 +2,7 @@
 
 Each rule's regex is taken apart into a Boolean trigram query: an OR of ANDs of
 trigrams that every match holds. The index has a posting (trigram, document) for
-every trigram that some query names; postings are joined with the queries and
+the rarest trigrams of each AND (looked_up()); postings are joined with the queries and
 intersected by counting, and the candidates' texts are verified with the regex. A
 rule without a mandatory trigram scans all texts. The candidates come back to their
 texts by a broadcast while their counted number is at most ``FEW``, else by a join.
@@ -144,12 +144,31 @@ def trigram_query(rule: Rule) -> list[list[str]]:
     return [] if frozenset() in found else sorted(sorted(x) for x in found)
 
 
+#: Letters by how often they stand in text, the frequent ones first; what isn't a letter is rarer.
+_OFTEN = "etaoinsrhdlucmfywgpbvkxqjz"
+#: Letters from this place on are rare: one trigram with such a character, or with none but letters, is enough of an AND.
+_RARE = 14
+
+
+def looked_up(query: list[list[str]]) -> list[list[str]]:
+    """Of each AND the trigrams that are looked up: the one that most ANDs share, of these the rarest, and the next if that is made of frequent letters. The regex verifies, so fewer only let more candidates through."""
+    place = lambda c: _OFTEN.find(c) if c in _OFTEN else 40
+    shared = {g: sum(g in q for q in query) for q in query for g in q}
+    out = []
+    for q in query:
+        first = sorted(q, key=lambda g: (-shared[g], -sum(map(place, g)), g))
+        out.append(sorted(first[: 1 if max(map(place, first[0])) >= _RARE else 2]))
+    return out
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id, tag, kinds: documents whose postings satisfy a rule's trigram query."""
-    terms = [(r.kind, n, len(q), g) for r in rules for n, q in enumerate(trigram_query(r)) for g in q]
+    ands = [(r.kind, n, q) for r in rules for n, q in enumerate(looked_up(trigram_query(r)))]
+    terms = [(kind, n, len(q), g) for kind, n, q in ands for g in q]
     wanted = F.array(*[F.lit(g) for g in sorted({t[3] for t in terms})])
-    low = docs.select("id", "tag", F.lower("text").alias("low"))
-    postings = low.select("id", "tag", F.explode(F.filter(wanted, lambda g: F.contains(F.col("low"), g))).alias("gram"))
+    # the lower-case text is bound once: named in the inner lambda, it would be made anew for every trigram
+    held = F.element_at(F.transform(F.array(F.lower("text")), lambda low: F.filter(wanted, lambda g: F.contains(low, g))), 1)
+    postings = docs.select("id", "tag", F.explode(held).alias("gram"))
     query = docs.sparkSession.createDataFrame(terms, "kind string, alt int, needs int, gram string")  # as many rows as the rules have trigrams
     held = postings.join(F.broadcast(query), "gram").groupBy("id", "tag", "kind", "alt", "needs").agg(F.count_distinct("gram").alias("has"))
     return held.filter("has = needs").groupBy("id", "tag").agg(F.collect_set("kind").alias("kinds"))
@@ -170,7 +189,8 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = docs.join(F.broadcast(known) if few else known, ["id", "tag"], "left")
     kinds = []
     for n, r in enumerate(rules):
-        hit = F.array_contains("kinds", r.kind) if trigram_query(r) else F.lit(True)
+        # false, not null, where a document is no candidate: null & x would scan it
+        hit = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) if trigram_query(r) else F.lit(True)
         # the scan must not run where the index has ruled the document out
         kinds.append(F.struct(F.lit(n).alias("order"), F.when(hit & F.rlike("text", F.lit(r.regex)), _matches(F.col("text"), r)).alias("m")))
     rows = rows.select("id", "tag", F.explode(F.filter(F.array(*kinds), lambda k: k["m"].isNotNull())).alias("k"))
