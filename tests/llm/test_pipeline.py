@@ -76,4 +76,37 @@ def test_mix(stages):
 
 
 def test_run(spark, sf_dir, stages):
-    assert {r.doc_id for r in P.run(spark, sf_dir).collect()} == set(stages[-1][1])
+    out = P.run(spark, sf_dir)
+    assert {r.doc_id for r in out.collect()} == set(stages[-1][1])
+    from pathlib import Path
+
+    [last] = {str(Path(f.removeprefix("file:")).parent) for f in out.inputFiles()}
+    assert sorted(x.name for x in Path(last).parent.iterdir()) == ["4"]
+
+
+def _words(k, n=40):
+    return " ".join(f"w{(k * 31 + i * i) % 997}" for i in range(n))
+
+
+ODD = [(1, _words(1)), (1, _words(1)), (2, _words(1)), (3, None), (4, ""), (None, _words(5)), (None, _words(6)), (None, None), (7, _words(7)), (7, _words(8)), (9, " \n\t"), (10, _words(9, 60_000))]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_odd_rows_in_every_stage(spark, sf_dir, tmp_path, rows):
+    """Nulls in any column, no text, repeated rows, ties of doc_id, a very long text, other columns with clashing names, and an empty table."""
+    full = [(i, t, None if k % 3 else "en", "s" if k % 2 else None, len(t) if t else None, k, "x") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, rep int, taken string")
+    columns, seen = docs.columns, []
+    for n, (_, f) in enumerate(P.STAGES):
+        f(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        seen.append((docs.columns, sorted(str((r.doc_id, r.text)) for r in docs.collect())))
+    assert all(c == columns for c, _ in seen[:-1]) and seen[-1][0] == [*columns[:-1], "taken_input", "size", "source_size", "target", "taken"]
+    every = sorted(str(r) for r in rows)
+    once = sorted(str(r) for k, r in enumerate(rows) if k not in (1, 2))  # one of the three with a text
+    for k in (0, 1):
+        assert seen[k][1] == every
+    for k in (2, 3):
+        assert seen[k][1] == once
+    worded = {str(r) for k, r in enumerate(rows) if k not in (1, 2) and (r[1] or "").strip()}
+    assert set(seen[4][1]) <= worded and bool(seen[4][1]) == bool(rows)  # a sample of what has words
