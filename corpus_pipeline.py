@@ -2,6 +2,12 @@
 
 Stages take (spark, docs, sf_dir). All but the last return the columns of
 documents; the last adds size, source_size, target and taken.
+
+Defined cases: null and empty texts, and those of white space, pass the first four
+stages, each as a document of its own, and go in the last, which takes words; a null
+doc_id, lang or source is kept as it is; of repeated rows, and of rows with one text,
+one stays after the join; other columns are kept, whatever they are called (those
+named as the last stage's are <name>_input after it); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,11 +52,18 @@ STAGES = [("toxicity", not_toxic), ("line dedup", fresh_lines), ("n-gram Jaccard
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each one's rows go to a folder of this run in the shared checkpoint folder."""
+    """All stages over documents. Each one's rows go to a folder of this run in the shared checkpoint folder, until the next one's are written."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            _drop(spark, f"{folder}/{n - 1}")
     return docs
