@@ -206,10 +206,11 @@ def swath_corners(centres: DataFrame, by: list[str], rows: int | None = None, co
     or column has none. rows, cols: the swaths' shape, else each one's largest row and
     column. A centre adds to nine corners at most, with sums in the task first.
     """
-    if rows is None or cols is None:
-        shape = centres.groupBy(*by).agg((F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols"))
-        sized = centres.join(shape, by) if by else centres.crossJoin(F.broadcast(shape))  # one row
+    if (rows is None or cols is None) and by:
+        sized = centres.join(centres.groupBy(*by).agg((F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols")), by)
     else:
+        if rows is None or cols is None:
+            rows, cols = centres.agg(F.max("row") + 1, F.max("col") + 1).first()
         sized = centres.withColumns({"__rows": F.lit(rows), "__cols": F.lit(cols)})
     sized = sized.filter("__rows > 1 and __cols > 1 and lon is not null and lat is not null")
     dealt = sized.select(*by, "lon", "lat", F.explode(_corner_weights("row", F.col("__rows"))).alias("__r"), _corner_weights("col", F.col("__cols")).alias("__cs"))
