@@ -203,9 +203,9 @@ def judged(documents: DataFrame, half: float = HALF, steps: int = STEPS, fewest:
     sized = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     model = estimates(vectors(rows.filter("NOT base_failed")), half, steps)
     small = model.filter(~F.col("pooled") & (F.col("size") < fewest)).select("lang", "source", "pooled", "size")
-    whole = model.filter("pooled").select(*_MODEL)  # one row
-    used = model.filter(~F.col("pooled") & (F.col("size") >= fewest)).select(*GROUP, "size", *_MODEL).unionByName(small.join(F.broadcast(whole)))
-    used = cut(used)
+    whole = model.filter("pooled").select(*_MODEL).first() or [None] * len(_MODEL)  # one row; none if there are no groups either
+    used = model.filter(~F.col("pooled") & (F.col("size") >= fewest)).select(*GROUP, "size", *_MODEL)
+    used = cut(used.unionByName(small.select("*", *[F.lit(x).cast("double").alias(m) for x, m in zip(whole, _MODEL)])))
     passed = _beside(rows.filter("NOT base_failed").withColumn("pooled", F.lit(False)), used, _few(used)).selectExpr("*", *_DISTANCE)
     passed = passed.select(*sized, (F.col("dist") <= F.lit(cutoff)).alias("kept"), F.col("dist").alias("distance"))
     failed = rows.filter("base_failed").select(*sized, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
