@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from geoflume.functions import timecodes as T
+from geoflume.operators import exact as E
 from geoflume.operators.archive import switched
 from geoflume.plans.formats import folder
 from geoflume.plans.points import points, table
@@ -64,6 +65,17 @@ def point_file_rows(spark, d):
     return both.select(F.col("id").cast("long").alias("event_id"), F.col("stamp").cast("long").alias("stamp"), "lon", "lat", "value", "note", "later")
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value, ts >= TIMESTAMP '2024-01-15' AS later FROM points WHERE value IS NOT NULL")
+def day_file_rows(spark, d):
+    """Equally long lines in order of their day, under a header in each file; either half sought by day."""
+    at = f"{folder(spark)}/days"
+    rows = points(spark, d).filter("value is not null").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.format_string("%012d", "event_id").alias("event_id"), F.format_string("%+020.10f", "value").alias("value"))
+    E.write_ordered(rows, at, [F.col("day"), F.col("event_id")])
+    edge, split = "2024-01-15", 1 << 18
+    both = R.read_days(spark, at, high=edge, splitbytes=split).withColumn("later", F.lit(False)).unionByName(R.read_days(spark, at, low=edge, splitbytes=split).withColumn("later", F.lit(True)))
+    return both.select(F.col("event_id").cast("long").alias("event_id"), "day", F.col("value").cast("double").alias("value"), "later")
+
+
 @query("""SELECT strftime(ts, '%Y%m%d%H')::BIGINT AS hour, floor(lat - 25)::INTEGER AS row, floor(lon + 125)::INTEGER AS col, count(*)::DOUBLE AS value FROM points GROUP BY ALL""")
 def grid_file_cells(spark, d):
     """Readings an hour and cell as one grid file an hour, read back."""

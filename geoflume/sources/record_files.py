@@ -423,6 +423,14 @@ def read_points(spark: SparkSession, path: str, low: float | None = None, high:
     return rows if high is None else rows.filter(F.col("stamp") < F.lit(float(high)))
 
 
+def read_days(spark: SparkSession, path: str, low: str | None = None, high: str | None = None, **options) -> DataFrame:
+    """The lines of low <= first column < high of day_records files, as strings; each call is a relation of its own, as in read_points."""
+    rows = register(spark).read.format("day_records").options(**options).load(path)
+    key = F.col(f"`{rows.columns[0]}`")
+    rows = rows if low is None else rows.filter(key >= low)
+    return rows if high is None else rows.filter(key < high)
+
+
 def write_points(points: DataFrame, path: str, variable: str, units: str, start: str, mode: str = "append", partitions: int | None = None) -> None:
     """Point streams, each sorted by stamp and of stamps that no other has but its neighbours."""
     rows = points.select(F.lit("").alias("path"), F.coalesce("note", F.lit("")).alias("note"), *[F.col(c).cast("double").alias(c) for c in B.COLUMNS])

@@ -9,7 +9,7 @@ from geoflume.sources import sensor_cursor as C
 def put(folder, stamp, ids, text=None):
     folder.mkdir(exist_ok=True)
     data = {"data_time_stamp": 1700000000 + int(stamp[-6:]), "fields": ["id", "pm25", "name"], "data": [[i, i * 1.5, None] for i in ids]}
-    (folder / f"purpleair_{stamp}.json").write_text(json.dumps(data, indent=1) if text is None else text)
+    (folder / f"sensors_{stamp}.json").write_text(json.dumps(data, indent=1) if text is None else text)
 
 
 def run(spark, folder, out, broken=()):
@@ -46,7 +46,7 @@ def test_each_row_once_over_stops_and_starts(spark, tmp_path):
     for _ in range(2):  # the first ends the batch that was stopped
         run(spark, src, out)
     assert ids(spark, out) == list(range(15))
-    assert sorted(p.name for p in src.iterdir() if p.suffix == ".bad") == ["purpleair_20240101000600.json.bad", "purpleair_20240101000700.json.bad"]
+    assert sorted(p.name for p in src.iterdir() if p.suffix == ".bad") == ["sensors_20240101000600.json.bad", "sensors_20240101000700.json.bad"]
     row = spark.read.parquet(str(out)).filter("id = 9").first()
     assert (row.stamp, row.taken, row.pm25) == ("20240101000400", 1700000400, 13.5)
 
