@@ -28,7 +28,7 @@ SIZES, BITS, MAX_TRAIN, EPOCHS = (3, 4, 5), 16, 10_000, 150
 _KNOWN = (
     "en.wikipedia.org de.wikipedia.org es.wikibooks.org www.wikidata.org commons.wikimedia.org www.bbc.co.uk www.theguardian.com www.reuters.com apnews.com www.nytimes.com www.lemonde.fr elpais.com www.spiegel.de www.zeit.de www.aljazeera.com "
     "github.com gitlab.com stackoverflow.com superuser.com askubuntu.com docs.python.org www.python.org www.rust-lang.org go.dev developer.mozilla.org www.w3.org www.ietf.org kernel.org www.gnu.org www.debian.org ubuntu.com www.postgresql.org "
-    "arxiv.org www.nature.com www.science.org journals.plos.org pubmed.ncbi.nlm.nih.gov www.nih.gov www.cdc.gov www.who.int www.nasa.gov www.noaa.gov www.usgs.gov www.epa.gov earthobservatory.nasa.gov www.esa.int www.ecmwf.int www.metoffice.gov.uk "
+    "arxiv.org www.nature.com www.science.org journals.plos.org pubmed.ncbi.nlm.nih.gov www.nih.gov www.cdc.gov www.who.int www.nasa.gov www.noaa.gov www.usgs.gov earthobservatory.nasa.gov www.esa.int www.ecmwf.int www.metoffice.gov.uk "
     "www.mit.edu www.stanford.edu www.ox.ac.uk www.cam.ac.uk ethz.ch www.tum.de www.sorbonne-universite.fr www.uba.ar www.harvard.edu ocw.mit.edu www.khanacademy.org www.coursera.org www.britannica.com plato.stanford.edu www.gutenberg.org archive.org "
     "www.loc.gov www.bl.uk www.metmuseum.org www.louvre.fr www.moma.org www.rijksmuseum.nl www.nationalgeographic.com www.smithsonianmag.com www.npr.org www.pbs.org www.economist.com www.ft.com www.wired.com arstechnica.com lwn.net "
     "news.ycombinator.com www.reddit.com medium.com wordpress.org blog.mozilla.org www.eff.org creativecommons.org www.openstreetmap.org www.un.org europa.eu www.gov.uk www.bundestag.de www.parliament.uk www.canada.ca www.australia.gov.au www.service-public.fr "
