@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflume.llm._common import SPACE, chunks, id_back, keyed, mix, rolling, slice_hash, table, word_spans
+from geoflume.llm._common import SPACE, chunks, cut, id_back, keyed, mix, rolling, slice_hash, table, word_spans
 
 K, M = 20, 5
 #: Super-k-mers of one minimiser from which its windows travel one by one.
@@ -241,12 +241,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeating(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
+    """id, tag, cuts: the super-k-mers (start, n, mini, hot) of each document whose minimiser occurs at two places or more."""
+    cuts = docs.mapInArrow(_cuts(k, m), "id long, tag long, mini long, start int, n int, places int")
+    # written apart and always merged, so that the adaptive plan may split a frequent minimiser's rows, at any size
+    often = cut(cuts.groupBy("mini").agg(F.sum("places").alias("often")).filter("often > 1")).hint("merge")
+    return cuts.join(often, "mini").groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "mini", (F.col("often") > hot).alias("hot"))).alias("cuts"))
+
+
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """id, tag, lo, hi: spans of words that lie in windows with an earlier equal window (docs as from keyed())."""
-    cuts = docs.mapInArrow(_cuts(k, m), "id long, tag long, mini long, start int, n int, places int")
-    often = cuts.groupBy("mini").agg(F.sum("places").alias("often")).filter("often > 1")
-    shared = cuts.join(often, "mini").groupBy("id", "tag").agg(F.collect_set(F.struct("start", "n", "mini", (F.col("often") > hot).alias("hot"))).alias("cuts"))
-    packed = docs.join(shared, ["id", "tag"]).select("id", "tag", "text", "cuts").mapInArrow(_pack(k), "key long, id long, tag long, start int, n int, packed binary")
+    packed = docs.join(repeating(docs, k, m, hot), ["id", "tag"]).select("id", "tag", "text", "cuts").mapInArrow(_pack(k), "key long, id long, tag long, start int, n int, packed binary")
     return packed.repartition("key").sortWithinPartitions("key").mapInArrow(_count(k), "id long, tag long, lo int, hi int")
 
 

@@ -67,6 +67,25 @@ def got_one(df):
     return [(r.doc_id, r.n_words, r.n_removed) for r in S.substring_dedup(df).collect()]
 
 
+def test_a_frequent_minimiser_is_split(spark, make_docs):
+    """The places of a passage that 3000 documents share don't stay in one task of the join."""
+    passage = " ".join(f"p{i}" for i in range(22))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(3000)]
+    small = {"advisoryPartitionSizeInBytes": "1k", "skewJoin.skewedPartitionThresholdInBytes": "2k", "skewJoin.skewedPartitionFactor": "1", "coalescePartitions.enabled": "false"}
+    try:
+        for name, value in small.items():
+            spark.conf.set(f"spark.sql.adaptive.{name}", value)
+        found = S.repeating(S.keyed(make_docs(*rows).repartition(8)))
+        assert found.count() == 3000
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "AQEShuffleRead skewed" in plan, plan
+        assert got(S.substring_dedup(make_docs(*rows).repartition(8))) == brute(rows)
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
 def test_very_long_text(make_docs):
     """A megabyte of one word repeated, and of different words with a passage of another document in them."""
     passage = " ".join(f"p{i}" for i in range(50))
