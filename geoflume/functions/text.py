@@ -48,3 +48,17 @@ def word_index(line: Column, word: Column | str, sep: str = ",") -> Column:
 
 def described(*parts: Column) -> Column:
     return F.concat_ws(";", *parts)
+
+
+def general(number: Column, digits: int = 6) -> Column:
+    """A number with so many digits, without zeros at its end; with an exponent below -4 or from ``digits`` on. Decimal halves go up; subnormal numbers (below 2.3e-308) may have fewer figures."""
+    x = number.cast("double")
+    e = F.format_string(f"%.{digits - 1}e", F.abs(x))
+    power = F.substring_index(e, "e", -1).cast("int")
+    figures = F.translate(F.substring_index(e, "e", 1), ".", "")
+    bare = lambda c: F.regexp_replace(c, r"\.?0*$", "")  # noqa: E731 - of a text with a point
+    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)).otherwise(F.concat(F.left(figures, power + 1), F.lit("."), F.substr(figures, power + 2)))
+    short = F.concat(bare(F.concat(F.left(figures, F.lit(1)), F.lit("."), F.substr(figures, F.lit(2)))), F.lit("e"), F.substring_index(e, "e", -1))
+    size = F.when(F.abs(x) == float("inf"), "inf").when((power >= -4) & (power < digits), bare(plain)).otherwise(short)
+    sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
+    return F.when(F.isnan(x), "nan").when(x.isNotNull(), F.concat(sign, size))

@@ -13,7 +13,7 @@ from geoflume.functions.projection import Albers, Lambert, Mercator, Stereograph
 from geoflume.operators import filters as FL
 from geoflume.operators import joins as J
 from geoflume.operators import regrid as R
-from geoflume.plans import formats, relations, scalars, shapes, streams, surveys  # noqa: F401 - they register queries of their own
+from geoflume.plans import formats, relations, scalars, shapes, streams, surveys, texts  # noqa: F401 - they register queries of their own
 from geoflume.plans.points import LAMBERT, ONE_DEGREE, POINTS_SQL, points, table
 from geoflume.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 

@@ -88,3 +88,19 @@ def latest(files: DataFrame, by: list[str], version: str) -> DataFrame:
 def month_name_date(text: Column) -> Column:
     """JAN-05-2001 and the like as a date."""
     return F.to_date(F.try_to_timestamp(F.initcap(text), F.lit("MMM-dd-yyyy")))
+
+
+def surface_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line: of comma-separated month-name date, county, latitude, longitude, measure and its error,
+    the same with a date of digits, longitude before latitude and every field of one width, zeros in front.
+
+    Headers and other lines without a date or with a number that can't be read go.
+    """
+    c = F.split("value", ",")
+    lat, lon, measure, error = (F.get(c, F.lit(k)).try_cast("double") for k in (2, 3, 4, 5))
+    county = F.trim(F.get(c, F.lit(1)))
+    line = F.concat_ws(",", F.date_format(month_name_date(F.get(c, F.lit(0))), "yyyy/MM/dd"), F.lpad(county, 11, "0"), F.format_string("%010.5f,%09.5f,%09.3f,%010.4f", lon, lat, measure, error))
+    read = month_name_date(F.get(c, F.lit(0))).isNotNull() & (county != "") & (F.length(county) <= 11)
+    for number in (lat, lon, measure, error):
+        read = read & number.isNotNull()
+    return spark.read.text(path).filter(read).select(line.alias("line"))
