@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoflume.operators import joins as J
 from geoflume.operators.exact import checkpointed
-from geoflume.operators.joins import _level, _levels, _node
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -27,41 +29,43 @@ def distance_to_segment(lon: Column, lat: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def cells_crossed(parts: DataFrame, size: float) -> DataFrame:
+    """parts (x1, y1, x2, y2) for each cell __x, __y of a size that the segment passes: at most its columns and rows together."""
+    cut = lambda c: F.floor(c / size).cast("long")
+    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
+    out = parts.withColumn("__x", F.explode(F.sequence(cut(F.least(x1, x2)), cut(F.greatest(x1, x2)))))
+    at = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (x - x1) * (y2 - y1) / F.when(x1 != x2, x2 - x1))
+    low, high = at(F.greatest(F.least(x1, x2), F.col("__x") * size)), at(F.least(F.greatest(x1, x2), (F.col("__x") + 1) * size))
+    # a vertical segment has its whole length in its column; rounding may take a hair, and a hair more does no harm
+    low, high = (F.when(x1 == x2, f(y1, y2)).otherwise(f(low, high)) for f in (F.least, F.greatest))
+    return out.withColumn("__y", F.explode(F.sequence(cut(low - size * 1e-6), cut(high + size * 1e-6))))
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     """Each point (lon, lat) with fid and distance of the nearest line (fid, xs, ys), however far; the lesser fid on ties. Points keep their rows; without lines, or for a null place, both are null.
 
-    Rings of doubling cells, exact: in round k a place looks at the three by three
-    cells of size ``cell * 2^k`` around it. What lies within that size of it is in
-    them, so a place whose nearest found distance is at most that is settled and the
-    others go on, with twice the size. A segment is dealt by its own length to four
-    cells at most of the round's size, or of the first size above its length. A place
-    is searched once, however many points stand there; rounds end when no place is
-    left, at the latest when the nine cells hold all segments.
+    Rings of doubling cells, exact (joins.by_rings), the last so large that nine hold
+    all. A segment is dealt to the cells that it passes. The first size is ``cell``
+    times the power of two with the fewest rows: small cells cut segments in many
+    parts, large ones have many segments around a place. A place is searched once,
+    however many points stand there, and so is a segment: of equal ones, the least fid.
     """
-    cut = lambda c: F.floor(F.col(c) / cell).cast("long")
-    parts = segments(lines).withColumns({"__x0": F.least(cut("x1"), cut("x2")), "__x1": F.greatest(cut("x1"), cut("x2")), "__y0": F.least(cut("y1"), cut("y2")), "__y1": F.greatest(cut("y1"), cut("y2"))})
-    parts = checkpointed(parts.withColumn("__level", _level(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) + 1)))
-    [levels] = _levels(parts)
-    left = checkpointed(points.select("lon", "lat").filter("lon is not null and lat is not null").distinct().withColumns({"__px": cut("lon"), "__py": cut("lat")}))
-    reach = left.select(F.min("__px").alias("x0"), F.max("__px").alias("x1"), F.min("__py").alias("y0"), F.max("__py").alias("y1")).union(parts.select(F.min("__x0"), F.max("__x1"), F.min("__y0"), F.max("__y1")))
-    r = reach.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).first()
-    last = max(r.x1 - r.x0, r.y1 - r.y0, 1).bit_length() + 1 if levels and r.x0 is not None else -1
-    found, k = left.select("lon", "lat", F.lit(None).cast(lines.schema["fid"].dataType).alias("fid"), F.lit(None).cast("double").alias("distance")).limit(0), 0
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    while k <= last and not left.isEmpty():
-        used = sorted({max(k, x) for x in levels})
-        dealt = parts.withColumn("__at", F.greatest(F.col("__level"), F.lit(k)))
-        for c in "xy":
-            dealt = dealt.withColumn(f"__{c}", F.explode(F.sequence(_node(F.col(f"__{c}0"), F.col("__at")), _node(F.col(f"__{c}1"), F.col("__at")))))
-        dealt = dealt.select("fid", "x1", "y1", "x2", "y2", "__at", "__x", "__y")
-        looks = left.withColumn("__at", F.explode(F.array(*[F.lit(x) for x in used]).cast("array<int>")))
-        for c in "xy":
-            looks = looks.withColumn("__own", _node(F.col(f"__p{c}"), F.col("__at"))).withColumn(f"__{c}", F.explode(F.transform(around, lambda i: i + F.col("__own"))))
-        near = looks.join(dealt, ["__at", "__x", "__y"]).groupBy("lon", "lat").agg(F.min(F.struct(distance_to_segment(F.col("lon"), F.col("lat")).alias("distance"), "fid")).alias("m"))
-        best = checkpointed(near.select("lon", "lat", "m.fid", "m.distance").filter((F.col("distance") <= cell * 2.0**k) | F.lit(k == last)))
-        found = found.unionByName(best)
-        left = checkpointed(left.join(best.select("lon", "lat"), ["lon", "lat"], "left_anti"))
-        k += 1
+    parts = checkpointed(segments(lines).groupBy("x1", "y1", "x2", "y2").agg(F.min("fid").alias("fid")))
+    places = checkpointed(points.select("lon", "lat").filter("lon is not null and lat is not null").distinct())
+    both = parts.select(F.least("x1", "x2").alias("x0"), F.greatest("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y0"), F.greatest("y1", "y2").alias("y1"), F.lit(1).alias("part"))
+    both = both.union(places.select("lon", "lon", "lat", "lat", F.lit(0)))
+    r = both.agg(F.sum("part").alias("n"), F.count_if(F.col("part") == 0).alias("places"), F.sum(F.col("part") * (F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0"))).alias("length"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h")).first()
+    if not r.n or not r.places:
+        return points.select("*", F.lit(None).cast(lines.schema["fid"].dataType).alias("fid"), F.lit(None).cast("double").alias("distance"))
+    last = max(0, math.ceil(math.log2(max(r.w, r.h, cell) / cell)))
+
+    def rows(k: int) -> float:
+        size = cell * 2.0**k
+        passed = r.length / size + r.n
+        return passed + passed * 9 * r.places * min(1.0, size * size / (max(r.w, size) * max(r.h, size)))
+
+    first = min(range(-20, last + 1), key=rows)
+    found = J.by_rings(places, lambda size: cells_crossed(parts, size), distance_to_segment(F.col("lon"), F.col("lat")), [cell * 2.0**k for k in range(first, last + 1)])
     return points.join(found, ["lon", "lat"], "left").select(*points.columns, "fid", "distance")
 
 

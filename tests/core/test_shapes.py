@@ -151,3 +151,46 @@ def test_points_on_a_boundary_are_outside(spark):
     got = J.in_polygons(spark.createDataFrame(places, "k long, lon double, lat double"), spark.createDataFrame(shapes, "id int, xs array<double>, ys array<double>"))
     inside = {k for k, x, y in places if -115 < x < -105 and 30 < y < 40 or -100 < x < -70 and y > 26.005 and y - 26.005 < (x + 100.0) * 0.5}
     assert {r.k for r in got.collect()} == inside and {5, 6} <= inside and not inside & {1, 2, 3, 4, 1000, 21329}
+
+
+def test_a_place_meets_few_of_many_lines(spark):
+    """Long lines are dealt to the cells that they pass, and equal ones are searched once: a place has few to compare, however many there are."""
+    k = F.col("id")
+    x, y = (k * 613 % 6000) / 100.0, (k * 389 % 2500) / 100.0
+    lines = spark.range(4000).select(k.alias("fid"), F.array(x, x + 4).alias("xs"), F.array(y, y + 2).alias("ys"))
+    lines = lines.unionByName(lines.withColumn("fid", F.col("fid") + 4000))
+    points = spark.range(300).select(k.alias("id"), (k * 37 % 600 / 10.0).alias("lon"), (k * 53 % 250 / 10.0).alias("lat"))
+    met = []
+    near = J.near_cells
+    try:
+        J.near_cells = lambda *a: met.append(near(*a).count()) or near(*a)
+        got = {r.id: (r.fid, r.distance) for r in L.nearest_line(points, lines, 0.5).collect()}
+    finally:
+        J.near_cells = near
+    assert sum(met) < 300 * 4000 / 20
+    seg = [(f, f * 613 % 6000 / 100.0, f * 389 % 2500 / 100.0) for f in range(4000)]
+    for i in range(0, 300, 10):
+        px, py = i * 37 % 600 / 10.0, i * 53 % 250 / 10.0
+        best = min((math.hypot(px - (a + t * 4), py - (b + t * 2)), f) for f, a, b in seg for t in [min(1.0, max(0.0, ((px - a) * 4 + (py - b) * 2) / 20))])
+        assert abs(got[i][1] - best[0]) < 1e-9 and got[i][0] < 4000
+
+
+def test_features_are_found_in_small_cells(spark):
+    """A reach of many degrees doesn't bring every feature to every place; features of one place count once."""
+    k = F.col("id")
+    features = spark.range(20000).select(k.alias("fid"), (k % 100 / 4.0).alias("flon"), (k % 5000 / 100 % 25).alias("flat"))
+    points = spark.range(400).select(k.alias("id"), (k * 7 % 250 / 10.0).alias("lon"), (k * 11 % 250 / 10.0).alias("lat"))
+    met = []
+    near = J.near_cells
+    try:
+        J.near_cells = lambda *a: met.append(near(*a).count()) or near(*a)
+        got = {r.id: (r.fid, r.distance) for r in J.nearest_feature(points, features, 20.0).collect()}
+    finally:
+        J.near_cells = near
+    assert sum(met) < 400 * 200
+    seen = {}
+    for r in features.collect():
+        seen.setdefault((r.flon, r.flat), r.fid)
+    for i in range(0, 400, 20):
+        px, py = i * 7 % 250 / 10.0, i * 11 % 250 / 10.0
+        assert got[i] == min((math.sqrt((px - a) ** 2 + (py - b) ** 2), f) for (a, b), f in seen.items())[::-1]
