@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoflume.operators.joins import _level, _levels, _node
+from geoflume.operators.joins import _level, _levels, _node, in_blocks, small
 
 #: Ecosystems of fire points by code, from 1. Fixed values.
 ECOSYSTEMS = (
@@ -49,36 +51,56 @@ def _edges() -> Column:
     return F.flatten(F.transform(F.filter("rings", lambda r: F.size(r.getField("xs")) > 2), sides))
 
 
+#: Events of one place and period in one row.
+CHUNK = 1024
+
+
+def _chunks(points: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and an array of structs of the other columns, of CHUNK rows or so; a group of more is dealt to several by the hash of its rows."""
+    rest = [c for c in points.columns if c not in keys]
+    heavy = small(points.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > CHUNK).select(*[F.col(c).alias(f"__of_{c}") for c in keys], F.ceil(F.col("__n") / CHUNK).alias("__n")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys])
+    dealt = points.join(heavy, same, "left").withColumn("__chunk", F.pmod(F.xxhash64(*rest), F.coalesce("__n", F.lit(1))))
+    return dealt.groupBy(*keys, "__chunk").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("__chunk")
+
+
 def in_polygons_during(points: DataFrame, polygons: DataFrame, cell: float = 1.0, minutes: int = 60, ts: str = "ts") -> DataFrame:
     """Points (lon, lat, ts) with the columns of each polygon that holds them while it lasts: id, start, end (both ends count; null: open) and others, without rings.
 
     polygons: rings is an array of structs of arrays xs, ys; the even-odd rule counts
-    over all rings, so later ones may be holes or further parts. A polygon is dealt by
-    the size of its box and the length of its time to a level of doubling cells and of
-    doubling periods, to four cells and two periods at most, however large it is; a
-    point to its one cell and period of each level in use. The rule decides in
-    expressions within the cell.
+    over all rings, so later ones may be holes or further parts. Points of one place
+    and period of eight times ``minutes`` go together. A polygon is dealt by the size
+    of its box and the length of its time to a level of doubling cells and of doubling
+    periods, to nine cells and five periods at most, however large it is; points to
+    their one cell and period of each level in use. What meets there is held against
+    the box first, then the rule decides in expressions, once a place and period, and
+    the times of its points at last.
     """
     cut = lambda c, by: F.floor(c / by).cast("long")
     secs = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    period = minutes * 60 * 8
     shapes = polygons.withColumn("__edges", _edges()).filter(F.size("__edges") > 0).drop("rings")
     low, high = (lambda f: F.transform("__edges", lambda e: e.getField(f))), F.array_max
-    shapes = shapes.withColumns({"__x0": cut(F.array_min(low("x1")), cell), "__x1": cut(high(low("x1")), cell), "__y0": cut(F.array_min(low("y1")), cell), "__y1": cut(high(low("y1")), cell)})
-    shapes = shapes.withColumns({"__t0": cut(secs("start"), minutes * 60), "__t1": cut(secs("end"), minutes * 60)})
+    shapes = shapes.withColumns({"__west": F.array_min(low("x1")), "__east": high(low("x1")), "__south": F.array_min(low("y1")), "__north": high(low("y1"))})
+    shapes = shapes.withColumns({"__x0": cut(F.col("__west"), cell), "__x1": cut(F.col("__east"), cell), "__y0": cut(F.col("__south"), cell), "__y1": cut(F.col("__north"), cell)})
+    shapes = shapes.withColumns({"__t0": cut(secs("start"), period), "__t1": cut(secs("end"), period)})
     open_ = F.col("__t0").isNull() | F.col("__t1").isNull()
-    shapes = shapes.withColumn("__level", _level(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) + 1))
-    shapes = shapes.withColumn("__tl", F.when(open_, F.lit(62)).otherwise(_level(F.col("__t1") - F.col("__t0") + 1))).filter(open_ | (F.col("__t0") <= F.col("__t1")))
+    finer = lambda length, k: F.greatest(F.lit(0), _level(length) - k)
+    shapes = shapes.withColumn("__level", finer(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) + 1, 1))
+    shapes = shapes.withColumn("__tl", F.when(open_, F.lit(62)).otherwise(finer(F.col("__t1") - F.col("__t0") + 1, 2))).filter(open_ | (F.col("__t0") <= F.col("__t1")))
     [places], [times] = _levels(shapes), _levels(shapes.select(F.col("__tl").alias("__level")))
     for c, level in (("x", "__level"), ("y", "__level"), ("t", "__tl")):
         first, last = (_node(F.coalesce(F.col(f"__{c}{k}"), F.lit(0)), F.col(level)) for k in (0, 1))
         shapes = shapes.withColumn(f"__{c}", F.explode(F.sequence(first, last)))
     shapes = shapes.drop("__x0", "__x1", "__y0", "__y1", "__t0", "__t1")
     ints = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
-    spread = points.withColumn("__level", F.explode(ints(places))).withColumn("__tl", F.explode(ints(times)))
-    spread = spread.withColumns({"__x": _node(cut(F.col("lon"), cell), F.col("__level")), "__y": _node(cut(F.col("lat"), cell), F.col("__level")), "__t": _node(cut(secs(ts), minutes * 60), F.col("__tl"))})
-    near = spread.join(shapes, ["__level", "__tl", "__x", "__y", "__t"])
-    near = near.filter((F.col("start").isNull() | (F.col(ts) >= F.col("start"))) & (F.col("end").isNull() | (F.col(ts) <= F.col("end"))))
+    points_ = points.filter("lon is not null and lat is not null").withColumn("__period", cut(secs(ts), period))
+    spread = _chunks(points_, ["lon", "lat", "__period"], "__points")
+    spread = spread.withColumn("__level", F.explode(ints(places))).withColumn("__tl", F.explode(ints(times)))
+    spread = spread.withColumns({"__x": _node(cut(F.col("lon"), cell), F.col("__level")), "__y": _node(cut(F.col("lat"), cell), F.col("__level")), "__t": _node(F.col("__period"), F.col("__tl"))}).drop("__period")
+    near = in_blocks(spread, shapes, ["__level", "__tl", "__x", "__y", "__t"])
     lon, lat = F.col("lon"), F.col("lat")
+    near = near.filter(lon.between(F.col("__west"), F.col("__east")) & lat.between(F.col("__south"), F.col("__north")))
 
     def crosses(e: Column) -> Column:
         up = (e.getField("y1") > lat) != (e.getField("y2") > lat)
@@ -86,4 +108,8 @@ def in_polygons_during(points: DataFrame, polygons: DataFrame, cell: float = 1.0
         return up & (lon < x)
 
     inside = F.size(F.filter("__edges", crosses)) % 2 == 1
-    return near.filter(inside).drop("__level", "__tl", "__x", "__y", "__t", "__edges")
+    kept = [c for c in polygons.columns if c != "rings"]
+    held = near.filter(inside).select("lon", "lat", *kept, F.explode("__points").alias("__point"))
+    at = F.col(f"__point.{ts}")
+    held = held.filter((F.col("start").isNull() | (at >= F.col("start"))) & (F.col("end").isNull() | (at <= F.col("end"))))
+    return held.select(*[c if c in ("lon", "lat") else F.col(f"__point.{c}").alias(c) for c in points.columns], *kept)

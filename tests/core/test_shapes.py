@@ -194,3 +194,16 @@ def test_features_are_found_in_small_cells(spark):
     for i in range(0, 400, 20):
         px, py = i * 7 % 250 / 10.0, i * 11 % 250 / 10.0
         assert got[i] == min((math.sqrt((px - a) ** 2 + (py - b) ** 2), f) for (a, b), f in seen.items())[::-1]
+
+
+def test_readings_of_one_place_meet_a_polygon_once(spark, monkeypatch):
+    """What a place's readings of one period need of a polygon is decided once; crowded places are cut into several rows, without a loss."""
+    monkeypatch.setattr(S, "CHUNK", 100)
+    met, blocks = [], S.in_blocks
+    monkeypatch.setattr(S, "in_blocks", lambda *a: met.append(blocks(*a).count()) or blocks(*a))
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 * 1.0).alias("lon"), F.lit(0.5).alias("lat"), (F.lit(at) + F.make_dt_interval(mins=(F.col("id") % 400).cast("int"))).alias("ts"))
+    plumes = spark.createDataFrame([(i, at, at + dt.timedelta(hours=i), [([-0.5, 1.5, 1.5, -0.5], [0.0, 0.0, 1.0, 1.0])]) for i in range(5)], "id int, start timestamp, end timestamp, rings array<struct<xs:array<double>,ys:array<double>>>")
+    got = sorted((r.k, r.id) for r in S.in_polygons_during(rows, plumes).collect())
+    assert got == [(k, i) for k in range(3000) for i in range(5) if k % 3 < 2 and k % 400 <= i * 60]
+    assert met[0] <= 3 * 10 * 5
