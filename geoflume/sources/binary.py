@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOTE = 80
-#: Points of a stream, some 64 MB.
-PIECE = 500_000
+#: Points of a stream, some 8 MB, and of a decoded batch.
+PIECE, ROWS = 1 << 16, 1 << 13
 COLUMNS = ("stamp", "lon", "lat", "elevation", "id", "value")
 SCHEMA = "path string, note string, stamp double, lon double, lat double, elevation double, id double, value double"
 
@@ -30,19 +30,36 @@ def encode(rows: dict[str, np.ndarray], notes: list[str], variable: str, units:
     return ("\n".join(head) + "\n").encode() + body + b"".join(np.asarray(rows[c], ">f8").tobytes() for c in COLUMNS)
 
 
-def decode(data: bytes) -> tuple[list[str], np.ndarray]:
-    """Notes and the array [variables][points] of a point stream."""
+def _opened(data: bytes | memoryview) -> tuple[int, int, int]:
+    """Variables, points and the place of the notes of a point stream."""
     at = 0
     lines = []
     while not lines or not lines[-1].startswith("# char"):
-        end = data.index(b"\n", at)
-        lines.append(data[at:end].decode("ascii", "replace"))
-        at = end + 1
+        line = bytes(data[at : at + 4096]).partition(b"\n")
+        if not line[1]:
+            raise ValueError("a point stream's header doesn't end")
+        lines.append(line[0].decode("ascii", "replace"))
+        at += len(line[0]) + 1
     if not lines[0].startswith("Point"):
         raise ValueError(f"not a point stream: {lines[0][:40]}")
     variables, points = map(int, re.findall(r"\d+", next(x for a, x in zip(lines, lines[1:]) if a.startswith("# Dim"))))
-    notes = [data[at + i * NOTE : at + (i + 1) * NOTE].decode("ascii", "replace").strip() for i in range(points)]
-    return notes, np.frombuffer(data, ">f8", variables * points, at + points * NOTE).reshape(variables, points).astype("f8")
+    return variables, points, at
+
+
+def decode(data: bytes | memoryview) -> tuple[list[str], np.ndarray]:
+    """Notes and the array [variables][points] of a point stream."""
+    _, points, _ = _opened(data)
+    return next(decoded(data, max(points, 1)))
+
+
+def decoded(data: bytes | memoryview, rows: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Notes and arrays [variables][rows] of a point stream, so many points at a time; nothing is copied but these."""
+    variables, points, at = _opened(data)
+    values = np.frombuffer(data, ">f8", variables * points, at + points * NOTE).reshape(variables, points)
+    for k in range(0, max(points, 1), rows):
+        n = min(points, k + rows)
+        notes = [bytes(data[at + i * NOTE : at + (i + 1) * NOTE]).decode("ascii", "replace").strip() for i in range(k, n)]
+        yield notes, values[:, k:n].astype("f8")
 
 
 def points_of(streams: DataFrame) -> DataFrame:
@@ -50,9 +67,9 @@ def points_of(streams: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                notes, data = decode(content)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(notes)), pa.array(notes, pa.string()), *[pa.array(v) for v in data]], names=["path", "note", *COLUMNS])
+            for name, content in zip(b["path"], b["content"]):
+                for notes, data in decoded(memoryview(content.as_buffer()), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(notes), pa.string()), pa.array(notes, pa.string()), *[pa.array(v) for v in data]], names=["path", "note", *COLUMNS])
 
     return streams.select("path", "content").mapInArrow(rows, SCHEMA)
 

@@ -69,3 +69,14 @@ def test_streams(spark, tmp_path):
     q = R.latest(stream).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.sensor, r.value) for r in spark.table("latest").collect()) == [(1, 23.0), (2, 23.0)]
+
+
+def test_a_stream_is_decoded_a_piece_at_a_time():
+    """No batch holds a whole stream, whose notes alone take some times its bytes."""
+    n = 3 * B.ROWS + 5
+    data = B.encode({c: np.arange(n) + k for k, c in enumerate(B.COLUMNS)}, [f"n{i}" for i in range(n)], "v", "m", "2024-01-01T00:00:00-0000")
+    parts = list(B.decoded(data, B.ROWS))
+    assert [len(x) for x, _ in parts] == [B.ROWS] * 3 + [5] and sum((x for x, _ in parts), []) == [f"n{i}" for i in range(n)]
+    assert np.array_equal(np.hstack([v for _, v in parts]), B.decode(data)[1]) and len(data) < B.PIECE * 200 and B.PIECE * 128 < 16e6
+    empty = B.encode({c: np.zeros(0) for c in B.COLUMNS}, [], "v", "m", "2024-01-01T00:00:00-0000")
+    assert B.decode(empty)[0] == [] and B.decode(empty)[1].shape == (6, 0)
