@@ -27,7 +27,8 @@ def side_file_pixels(spark, d):
     body = p.select("granule", (F.col("row") * 40 + F.col("col")).alias("n"), F.concat_ws(" ", F.col("col") + 1, F.col("row") + 1, F.when(bad, 95.0).otherwise(F.col("lat")), "lon").alias("line"))
     head = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("line")) for n, x in ((-4, "hdr_lines: 4"), (-3, "NX (columns): 40"), (-2, "NY (rows): 10"), (-1, "x y latitude longitude"))]))
     heads = p.select("granule").distinct().select("granule", head.alias("h")).select("granule", F.col("h.n").cast("long").alias("n"), "h.line")
-    body.unionByName(heads).repartition("granule").sortWithinPartitions("granule", "n").select("granule", "line").write.partitionBy("granule").text(at)
+    # version 2: each task moves its own files, not the driver all of them one by one
+    body.unionByName(heads).repartition("granule").sortWithinPartitions("granule", "n").select("granule", "line").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("granule").text(at)
     side = N.coordinates(spark, at).withColumn("granule", F.regexp_extract("file", r"granule=(\d+)", 1).cast("long")).drop("file")
     return J.with_side(p.drop("lon", "lat"), side, ["granule", "row", "col"]).filter("lon is not null").select("granule", "row", "col", "lon", "lat", "value")
 

@@ -94,3 +94,12 @@ def test_surface_lines(spark, tmp_path):
     got = sorted(r.line for r in S.surface_lines(spark, str(tmp_path)).collect())
     assert got == ["2001/01/05,00000001001,-086.50000,032.50000,00041.250,00003.5000", "2012/12/31,00000000009,0002.00000,-01.50000,00000.000,00000.0000"]
     assert len({len(x) for x in got}) == 1
+
+
+def test_coordinates_read_the_files_once_a_step(spark, tmp_path):
+    """What is found of splits and files isn't found anew by each later step."""
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text(coordinate_file(2, 2, [(k, 1), (k, 2), (k, 3), (k, 4)]))
+    df = N.coordinates(spark, str(tmp_path))
+    assert df.count() == 12
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
