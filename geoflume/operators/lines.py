@@ -50,7 +50,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     parts, large ones have many segments around a place. A place is searched once,
     however many points stand there, and so is a segment: of equal ones, the least fid.
     """
-    parts = checkpointed(segments(lines).groupBy("x1", "y1", "x2", "y2").agg(F.min("fid").alias("fid")))
+    parts = J.spread_out(segments(lines).groupBy("x1", "y1", "x2", "y2").agg(F.min("fid").alias("fid")))
     places = checkpointed(points.select("lon", "lat").filter("lon is not null and lat is not null").distinct())
     both = parts.select(F.least("x1", "x2").alias("x0"), F.greatest("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y0"), F.greatest("y1", "y2").alias("y1"), F.lit(1).alias("part"))
     both = both.union(places.select("lon", "lon", "lat", "lat", F.lit(0)))
@@ -62,7 +62,8 @@ def nearest_line(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     def rows(k: int) -> float:
         size = cell * 2.0**k
         passed = r.length / size + r.n
-        return passed + passed * 9 * r.places * min(1.0, size * size / (max(r.w, size) * max(r.h, size)))
+        moved = passed if r.places <= J.HELD_PLACES else 8 * passed  # shuffled and sorted by cell
+        return moved + passed * 9 * r.places * min(1.0, size * size / (max(r.w, size) * max(r.h, size)))
 
     first = min(range(-20, last + 1), key=rows)
     found = J.by_rings(places, lambda size: cells_crossed(parts, size), distance_to_segment(F.col("lon"), F.col("lat")), [cell * 2.0**k for k in range(first, last + 1)])

@@ -207,3 +207,23 @@ def test_readings_of_one_place_meet_a_polygon_once(spark, monkeypatch):
     got = sorted((r.k, r.id) for r in S.in_polygons_during(rows, plumes).collect())
     assert got == [(k, i) for k in range(3000) for i in range(5) if k % 3 < 2 and k % 400 <= i * 60]
     assert met[0] <= 3 * 10 * 5
+
+
+@pytest.mark.parametrize("held", [1 << 15, 0])
+def test_cells_of_lines_and_features_are_never_broadcast(spark, monkeypatch, held):
+    """What is dealt to cells has many rows of few bytes: the places are broadcast where they are few, else nothing is, and the nearest are the same."""
+    monkeypatch.setattr(J, "HELD_PLACES", held, raising=False)
+    plans, near = [], J.near_cells
+    monkeypatch.setattr(J, "near_cells", lambda *a: plans.append(near(*a)._jdf.queryExecution().executedPlan().toString()) or near(*a))
+    k = F.col("id")
+    x, y = (k * 613 % 600) / 10.0, (k * 389 % 250) / 10.0
+    points = spark.range(60).select(k.alias("id"), (k * 37 % 600 / 10.0).alias("lon"), (k * 53 % 250 / 10.0).alias("lat"))
+    lines = {r.id: (r.fid, r.distance) for r in L.nearest_line(points, spark.range(40).select(k.alias("fid"), F.array(x, x + 1).alias("xs"), F.array(y, y).alias("ys")), 0.5).collect()}
+    features = {r.id: (r.fid, r.distance) for r in J.nearest_feature(points, spark.range(40).select(k.alias("fid"), x.alias("flon"), y.alias("flat")), 90.0).collect()}
+    at = [(f, f * 613 % 600 / 10.0, f * 389 % 250 / 10.0) for f in range(40)]
+    for i in range(60):
+        px, py = i * 37 % 600 / 10.0, i * 53 % 250 / 10.0
+        best = min((math.hypot(px - min(max(px, a), a + 1), py - b), f) for f, a, b in at)
+        assert lines[i][0] == best[1] and abs(lines[i][1] - best[0]) < 1e-9
+        assert features[i] == min((math.sqrt((px - a) ** 2 + (py - b) ** 2), f) for f, a, b in at)[::-1]
+    assert plans and all("BuildLeft" in p if held else "SortMergeJoin" in p and "Broadcast" not in p for p in plans)
